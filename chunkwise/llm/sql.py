@@ -41,3 +41,5 @@ SQL["p2_found"] = BORDA + """
 SELECT query_id, chunk_id FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points2 DESC, chunk_id) AS place FROM total
 ) WHERE place <= 5"""
+
+SQL["p5_found"] = "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) > 2000"
