@@ -156,8 +156,8 @@ def compare_unit(key, left: pa.Table, right: pa.Table, p: Params) -> pa.Table:
     schema = pa.schema([("vid", pa.int64()), ("nvid", pa.int64()), ("sim", pa.float32())])
     if not left.num_rows or not right.num_rows:
         return schema.empty_table()
-    vids, first = np.unique(right["vid"].to_numpy(), return_index=True)
-    index = unpack(right["vec"], p.dim)[first]
+    vids, first = np.unique(right["ivid"].to_numpy(), return_index=True)
+    index = unpack(right["ivec"], p.dim)[first]
     q, qfirst = np.unique(left["vid"].to_numpy(), return_index=True)
     queries = unpack(left["vec"], p.dim)[qfirst]
     at = np.minimum(np.searchsorted(vids, q), len(vids) - 1)
@@ -220,7 +220,7 @@ def nearest(df: DataFrame, p: Params = Params(), id_col: str = "chunk_id", vecto
     load = F.broadcast(spark.createDataFrame(load.collect(), "cell int, nb int, nq int"))  # one row per cell, at most p.cells
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     index = points.select("vid", "vec", F.col("cells")[0].alias("cell")).join(load, "cell")
-    index = index.select("cell", F.pmod(F.xxhash64("vid"), F.col("nb")).cast("int").alias("blk"), upto("nq").alias("qblk"), "vid", "vec")
+    index = index.select("cell", F.pmod(F.xxhash64("vid"), F.col("nb")).cast("int").alias("blk"), upto("nq").alias("qblk"), F.col("vid").alias("ivid"), F.col("vec").alias("ivec"))
     asked = points.select("vid", "vec", F.explode("cells").alias("cell")).join(load, "cell")
     asked = asked.select("cell", upto("nb").alias("blk"), F.pmod(F.xxhash64("vid", F.lit(5)), F.col("nq")).cast("int").alias("qblk"), "vid", "vec")
     unit = ["cell", "blk", "qblk"]
