@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +42,30 @@ def persist_table(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers import this package: Spark sends them a zip of it, once per application.
+
+    Nothing is sent where PYTHONPATH already names the folder the package lies in.
+    """
+    root, app = Path(__file__).resolve().parent.parent, spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    made = tempfile.mkdtemp(prefix="chunkwise-zip-")
+    atexit.register(shutil.rmtree, made, True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{made}/chunkwise-package", "zip", root, "chunkwise"))
+    _SHIPPED.add(app)
+
+
+def registered(query):
+    """A registered query that can run whatever the workers' import path is."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
