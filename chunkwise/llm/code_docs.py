@@ -3,78 +3,12 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-@dataclass
-class Token:
-    kind: str  # "comment", "code", "string", "blank"
-    start: int
-    end: int
-
-
-def lex(text: str) -> list[Token]:
-    """Cut source text of the C-like languages into comments, strings, blanks and single code characters or words.
-
-    A state machine over the characters: line and (nested for none) block comments, ``"``, ``'`` and backtick strings
-    with escapes, triple quotes. Unclosed strings end at their line, unclosed comments and triple quotes at the end.
-    """
-    out: list[Token] = []
-    i, n = 0, len(text)
-    while i < n:
-        c = text[i]
-        if c == "/" and text.startswith("//", i):
-            j = i
-            while j < n and text[j] not in "\r\n":
-                j += 1
-            out.append(Token("comment", i, j))
-        elif c == "/" and text.startswith("/*", i):
-            j = text.find("*/", i + 2)
-            j = n if j < 0 else j + 2
-            out.append(Token("comment", i, j))
-        elif text.startswith('"""', i):
-            j = text.find('"""', i + 3)
-            j = n if j < 0 else j + 3
-            out.append(Token("string", i, j))
-        elif c in "\"'`":
-            j = i + 1
-            while j < n and text[j] != c and (c == "`" or text[j] not in "\r\n"):
-                j += 2 if text[j] == "\\" else 1
-            j = min(n, j + 1)
-            out.append(Token("string", i, j))
-        elif c.isspace():
-            j = i
-            while j < n and text[j].isspace():
-                j += 1
-            out.append(Token("blank", i, j))
-        elif c.isalnum() or c in "_$@":
-            j = i + 1
-            while j < n and (text[j].isalnum() or text[j] in "_$"):
-                j += 1
-            out.append(Token("code", i, j))
-        else:
-            j = i + 1
-            out.append(Token("code", i, j))
-        i = j
-    return out
-
-
-def skip_group(toks: list[Token], text: str, k: int) -> int:
-    """Index behind the bracket group that opens at token ``k``; strings and comments inside do not count."""
-    depth = 0
-    while k < len(toks):
-        t = toks[k]
-        if t.kind == "code":
-            c = text[t.start]
-            depth += (c in "([{") - (c in ")]}")
-            if depth == 0:
-                return k + 1
-        k += 1
-    return k
+from chunkwise.sources.code import Token, body_end, lex, skip_group
 
 
 def declaration(text: str, toks: list[Token] | None = None, k: int = 0) -> tuple[list[Token], int, int]:
@@ -104,31 +38,6 @@ def declaration(text: str, toks: list[Token] | None = None, k: int = 0) -> tuple
     return comments, len(text) if code is None else code, body_end(toks, text, k)
 
 
-def body_end(toks: list[Token], text: str, k: int) -> int:
-    """Token index behind a body ``{...}``, a ``;`` or, for an expression body, the end of its line at depth 0."""
-    seen_params = False
-    while k < len(toks):
-        t = toks[k]
-        if t.kind == "code":
-            c = text[t.start]
-            if c == "{":
-                return skip_group(toks, text, k)
-            if c in "([":
-                k = skip_group(toks, text, k)
-                seen_params = True
-                continue
-            if c == ";":
-                return k + 1
-            if c == "}":
-                return k
-            if c == "=" and seen_params and not text.startswith("=>", t.start):
-                while k < len(toks) and not (toks[k].kind == "blank" and "\n" in text[toks[k].start : toks[k].end]) and text[toks[k].start] not in ";}":
-                    k = skip_group(toks, text, k) if toks[k].kind == "code" and text[toks[k].start] in "([{" else k + 1
-                return k
-        k += 1
-    return k
-
-
 #: Words that begin no function although brackets and a brace may follow.
 KEYWORDS = frozenset("if for while switch catch when return new throw else do try synchronized class interface object enum record assert super this init get set".split())
 
