@@ -71,15 +71,11 @@ def rst_to_markdown(text: str) -> str:
 
 
 def asciidoc_to_markdown(text: str) -> str:
-    """Listing delimiters as bare fences, ``=`` headings as ``#`` headings outside them."""
-    out, fenced = [], False
+    """Listing delimiters as bare fences, ``=`` headings as ``#`` headings (inside listings too, as for Markdown)."""
+    out = []
     for line in text.replace("\r\n", "\n").split("\n"):
-        if re.fullmatch(r"\s*-{4,}\s*", line):
-            fenced = not fenced
-            out.append("```")
-            continue
         m = re.match(r"^(=+)\s+(.+)$", line)
-        out.append("#" * len(m.group(1)) + " " + m.group(2) if m else line)
+        out.append("```" if re.fullmatch(r"\s*-{4,}\s*", line) else "#" * len(m.group(1)) + " " + m.group(2) if m else line)
     return "\n".join(out)
 
 
