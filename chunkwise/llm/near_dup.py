@@ -70,17 +70,26 @@ def minima(sh: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 2048) -> np
 def sign(frames: Iterator[pd.DataFrame], p: Params) -> Iterator[pd.DataFrame]:
     a, b = seeds(p.minima)
     known: dict = {}
+    seen: set[int] = set()
     weights = (np.uint64(1) << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS)))
     for pdf in frames:
         ids, fps, sigs, keys = [], [], [], []
+        if len(seen) > 1_000_000:
+            seen.clear()
         for cid, text in zip(pdf["chunk_id"], pdf["content"]):
             sh = shingles(text, p.width, known)
             if not len(sh):
                 continue
+            fp = xxhash.xxh3_64_intdigest(sh.tobytes()) - (1 << 63)
+            ids.append(cid)
+            fps.append(fp)
+            if fp in seen:
+                sigs.append(None)
+                keys.append(None)
+                continue
+            seen.add(fp)
             low = minima(sh, a, b)
             bits = ((low * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.uint64)
-            ids.append(cid)
-            fps.append(xxhash.xxh3_64_intdigest(sh.tobytes()) - (1 << 63))
             sigs.append((bits.reshape(-1, PER_LONG) * weights).sum(1, dtype=np.uint64).view(np.int64))
             rows = low.reshape(p.bands, p.rows).astype(np.uint64)
             key = rows[:, 0].copy()
@@ -108,7 +117,11 @@ def estimate(sa: str, sb: str, p: Params):
 
 
 def signatures(chunks: DataFrame, p: Params) -> DataFrame:
-    """``(chunk_id, fp, sig, bands)`` of every text with at least one shingle, as a table in the shared folder."""
+    """``(chunk_id, fp, sig, bands)`` of every text with at least one shingle, as a table in the shared folder.
+
+    ``fp`` names the shingle set; ``sig`` and ``bands`` stand only at its first text in a task, so exact copies are
+    combined before any shuffle.
+    """
     src = chunks.select("chunk_id", "content").where("content IS NOT NULL AND chunk_id IS NOT NULL")
     schema = "chunk_id string, fp bigint, sig array<bigint>, bands array<int>"
     return persist_table(src.mapInPandas(lambda it: sign(it, p), schema), "near-dup-signatures")
@@ -117,15 +130,15 @@ def signatures(chunks: DataFrame, p: Params) -> DataFrame:
 def class_pairs(chunks: DataFrame, sigs: DataFrame, p: Params) -> DataFrame:
     """Pairs ``(fa, fb, similarity)`` of different shingle sets whose estimated similarity reaches ``p.accept``.
 
-    One shuffle of ``(band key, set)`` rows finds the buckets; sets are distinct by then, so exact copies, however many,
+    One shuffle of ``(band key, set)`` rows finds the buckets; sets are made distinct in it, so exact copies, however many,
     are one member. Buckets of up to ``p.bucket`` sets give their pairs directly. Members of larger buckets go to
     :func:`prefix_join`, which is exact and never pairs a whole bucket.
     """
     from pyspark.sql import Window
 
-    sets = sigs.select("fp", "bands", "sig").dropDuplicates(["fp"])
-    rows = sets.select("fp", F.posexplode("bands").alias("band", "key"))
+    rows = sigs.where("bands IS NOT NULL").select("fp", F.posexplode("bands").alias("band", "key"))
     rows = rows.select("fp", (F.shiftleft(F.col("band").cast("bigint"), 32) + F.col("key").cast("bigint") + F.lit(1 << 31)).alias("key"))
+    rows = rows.repartition("key").dropDuplicates(["key", "fp"])  # copies of a set from several tasks; no second shuffle
     shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     shared = persist_table(shared, "near-dup-buckets")
     small = shared.where(F.col("n") <= p.bucket).groupBy("key").agg(F.array_sort(F.collect_set("fp")).alias("m"))
@@ -134,7 +147,7 @@ def class_pairs(chunks: DataFrame, sigs: DataFrame, p: Params) -> DataFrame:
     hot = shared.where(F.col("n") > p.bucket).select("fp").distinct()
     if not hot.isEmpty():
         pairs = pairs.unionByName(prefix_join(chunks, sigs, hot, p)).distinct()
-    sig = sets.select("fp", "sig")
+    sig = sigs.where("sig IS NOT NULL").select("fp", "sig").dropDuplicates(["fp"])
     left, right = sig.select(F.col("fp").alias("fa"), F.col("sig").alias("sa")), sig.select(F.col("fp").alias("fb"), F.col("sig").alias("sb"))
     scored = pairs.join(left, "fa").join(right, "fb").withColumn("similarity", estimate("sa", "sb", p))
     return scored.where(F.col("similarity") >= p.accept).select("fa", "fb", "similarity")
