@@ -44,7 +44,8 @@ GROUP BY wid
 """
 
 #: The same for long words, where one step contracts every place of the minimum-rank pair (runs of overlapping places
-#: from the left), which gives the same tokens: a new pair never has a lower rank than the one it was made by.
+#: from the left), which gives the same tokens: a new pair never has a lower rank than the one it was made by. The query
+#: ends after 64 steps, so that the rows of all steps fit in memory, and goes on from there for words not yet done.
 CONTRACT_LONG = """
 WITH RECURSIVE step AS (
     SELECT wid, pos, tok, 0 AS it FROM letters
@@ -61,7 +62,7 @@ WITH RECURSIVE step AS (
                     SELECT *, coalesce(prio = best, false) AS hit
                     FROM (
                         SELECT p.wid, p.pos, p.tok, p.it, m.fresh, m.prio, min(m.prio) OVER (PARTITION BY p.wid) AS best
-                        FROM (SELECT wid, pos, tok, it, lead(tok) OVER (PARTITION BY wid ORDER BY pos) AS nxt FROM step) p
+                        FROM (SELECT wid, pos, tok, it, lead(tok) OVER (PARTITION BY wid ORDER BY pos) AS nxt FROM step WHERE it < 64) p
                         LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
                     ) WHERE best IS NOT NULL
                 )
@@ -69,7 +70,7 @@ WITH RECURSIVE step AS (
         )
     ) WHERE NOT eaten
 )
-SELECT wid, list(tok ORDER BY pos) AS toks
+SELECT wid, list(tok ORDER BY pos) AS toks, max(it) AS steps
 FROM (SELECT wid, pos, tok, it, max(it) OVER (PARTITION BY wid) AS last FROM step) WHERE it = last
 GROUP BY wid
 """
@@ -128,17 +129,27 @@ class DuckEncoder:
                 self.contract_block(query, group)
 
     def contract_block(self, query: str, group: list[tuple[str, bytes]]) -> None:
-        lengths = np.array([len(raw) for _, raw in group], np.int64)
-        wid = np.repeat(np.arange(len(group), dtype=np.int32), lengths)
-        pos = np.arange(len(wid), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        tok = self.byte_ids[np.frombuffer(b"".join(raw for _, raw in group), np.uint8)]
-        self.con.register("letters", pa.table({"wid": wid, "pos": pos.astype(np.int32), "tok": tok}))
-        done = self.con.sql(query).to_arrow_table()
-        self.con.unregister("letters")
-        toks = done["toks"].combine_chunks()
-        values, ends = toks.values.to_numpy(zero_copy_only=False).astype(np.int32), toks.offsets.to_numpy()
-        for i, w in enumerate(done["wid"].to_numpy()):
-            self.word_tokens[group[w][0]] = values[ends[i] : ends[i + 1]]
+        words = [w for w, _ in group]
+        states = [self.byte_ids[np.frombuffer(raw, np.uint8)] for _, raw in group]
+        while words:
+            lengths = np.array([len(x) for x in states], np.int64)
+            wid = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+            pos = np.arange(len(wid), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            self.con.register("letters", pa.table({"wid": wid, "pos": pos.astype(np.int32), "tok": np.concatenate(states)}))
+            done = self.con.sql(query).to_arrow_table()
+            self.con.unregister("letters")
+            toks = done["toks"].combine_chunks()
+            values, ends = toks.values.to_numpy(zero_copy_only=False).astype(np.int32), toks.offsets.to_numpy()
+            steps = done["steps"].to_numpy() if "steps" in done.column_names else np.zeros(len(toks), np.int32)
+            after, unfinished = [], []
+            for i, (w, n) in enumerate(zip(done["wid"].to_numpy(), steps)):
+                out = values[ends[i] : ends[i + 1]]
+                if n >= 64:
+                    after.append(words[w])
+                    unfinished.append(out)
+                else:
+                    self.word_tokens[words[w]] = out
+            words, states = after, unfinished
 
     def learn(self, pieces: list[str]) -> None:
         """Fill the caches for new pieces; a piece not at the start of its text stands for itself behind a space."""
