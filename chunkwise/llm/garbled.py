@@ -211,8 +211,9 @@ class Finder:
         for r in runs:
             body = text[r[0][0] : r[-1][1]]
             odd = sum(not c.isalnum() for c in body)
-            kana = sum("぀" <= s[4] <= "ヿ" or "一" <= s[4] <= "鿿" or s[4] in "。、・ー" for s in r)
-            if len(r) >= 3 and odd >= len(r) // 2 and kana >= 0.8 * len(r):
+            kana = sum("぀" <= s[4] <= "ヿ" for s in r)
+            kanji = sum("一" <= s[4] <= "鿿" or s[4] in "。、・ー" for s in r)
+            if len(r) >= 3 and odd >= len(r) // 2 and kana >= 0.15 * len(r) and kana + kanji >= 0.8 * len(r):
                 out += [(s[0], s[1], s[4]) for s in r]
         return out
 
@@ -241,7 +242,9 @@ def telling(text: str, start: int, end: int, word: str, run: list) -> bool:
         return True
     letters = [c for c in seen if c.isalpha()]
     if pair.endswith(("cp1251", "koi8-r", "cp866")) and len(letters) == len(seen):
-        # Cyrillic letters only: right text unless several sequences follow one another and give another script's words.
+        # Cyrillic letters only: right text unless they stand inside a Latin word, or follow one another and give Russian.
+        if (before.isascii() and before.isalpha()) or (after.isascii() and after.isalpha()):
+            return True
         return len(run) >= 2 and all(c.lower() in CYRILLIC_LOWER for c in word) and any(c not in cyrillic() for c in seen)
     if len(letters) == len(seen) and seen.isupper() and (before.isupper() or after.isupper()):
         return False
@@ -298,17 +301,18 @@ def cyrillic_passage(part: str, pairs: list[tuple[str, str]]) -> list[tuple[int,
             if back and back != w.group() and cyrillic_word(back):
                 good.append((w, back))
         long = [b for _, b in good if len(b) >= 3]
-        if len(long) < 2 or sum(len(b) for _, b in good) < 0.6 * size:
+        share = sum(len(b) for _, b in good) / size
+        if len(long) < 2 or share < 0.6:
             continue
         score = russian("".join(long)) + 0.2 * sum(b.islower() or b.istitle() for b in long) / len(long)
         score -= sum(c.lower() not in CYRILLIC_LOWER for _, b in good for c in b) / sum(len(b) for _, b in good)
-        if best is None or score > best[0] + 1e-9:
-            best = (score, good)
-    if best is None or best[0] <= 0.68:
+        if score > 0.68 and (best is None or score + share > best[0] + 1e-9):
+            best = (score + share, good, score)
+    if best is None:
         return []
     here = "".join(w.group() for w in words if len(w.group()) >= 3)
     lower = sum(w.group().islower() or w.group().istitle() for w in words if len(w.group()) >= 3) / max(1, sum(len(w.group()) >= 3 for w in words))
-    if all(c.lower() in CYRILLIC_LOWER for c in here) and russian(here) + 0.2 * lower >= best[0]:
+    if all(c.lower() in CYRILLIC_LOWER for c in here) and russian(here) + 0.2 * lower >= best[2]:
         return []
     return [(w.start(), w.end(), b) for w, b in best[1]]
 
