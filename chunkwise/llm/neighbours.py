@@ -210,20 +210,25 @@ def nearest(df: DataFrame, p: Params = Params(), id_col: str = "chunk_id", vecto
     spark = df.sparkSession
     rows = usable(df, p.dim, vector).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
     n = rows.count()
-    drawn = rows.select("vector", F.xxhash64("id", F.lit(p.seed)).alias("h"), "id").orderBy("h", "id").limit(p.sample).select("vector").toArrow()
+    hashed = rows.select("vector", F.xxhash64("id", F.lit(p.seed)).alias("h"), "id")
+    part = min(1.0, 1.5 * p.sample / max(1, n))  # so that tasks do not each send a whole sample
+    drawn = hashed.where(F.pmod("h", F.lit(1 << 30)) < int(part * (1 << 30))).orderBy("h", "id").limit(p.sample).select("vector").toArrow()
     x = matrix(drawn["vector"].combine_chunks(), p.dim) if drawn.num_rows else np.zeros((0, p.dim), np.float32)
     w, b = fit(np.unique(x, axis=0), min(number_of_cells(n, p), max(1, len(x) // 8)), p)
     table = persist_table(encode_vectors(rows, w, b, p), "neighbours-vectors")
     points = table.where("vec IS NOT NULL")
     load = points.select(F.posexplode("cells").alias("i", "cell")).groupBy("cell").agg(F.count_if(F.col("i") == 0).alias("n"), F.count(F.lit(1)).alias("q"))
     load = load.select("cell", F.ceil(F.greatest("n", F.lit(1)) / p.block).cast("int").alias("nb"), F.ceil(F.col("q") / p.queries).cast("int").alias("nq"))
-    load = F.broadcast(spark.createDataFrame(load.collect(), "cell int, nb int, nq int"))  # one row per cell, at most p.cells
+    cells = load.collect()  # one row per cell, at most p.cells
+    units = max(1, sum(c["nb"] * c["nq"] for c in cells))
+    load = F.broadcast(spark.createDataFrame(cells, "cell int, nb int, nq int"))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     index = points.select("vid", "vec", F.col("cells")[0].alias("cell")).join(load, "cell")
     index = index.select("cell", F.pmod(F.xxhash64("vid"), F.col("nb")).cast("int").alias("blk"), upto("nq").alias("qblk"), F.col("vid").alias("ivid"), F.col("vec").alias("ivec"))
     asked = points.select("vid", "vec", F.explode("cells").alias("cell")).join(load, "cell")
     asked = asked.select("cell", upto("nb").alias("blk"), F.pmod(F.xxhash64("vid", F.lit(5)), F.col("nq")).cast("int").alias("qblk"), "vid", "vec")
     unit = ["cell", "blk", "qblk"]
+    index, asked = index.repartition(units, *unit), asked.repartition(units, *unit)  # tasks keep their size as units grow in number
     partial = asked.groupBy(*unit).cogroup(index.groupBy(*unit)).applyInArrow(lambda key, a, c: compare_unit(key, a, c, p), "vid bigint, nvid bigint, sim float")
     first = Window.partitionBy("vid").orderBy(F.desc("sim"), "nvid")
     links = partial.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= p.k).drop("r")
