@@ -11,10 +11,26 @@ from pyspark.sql import functions as F
 from chunkwise.sources.code import Token, body_end, lex, skip_group
 
 
+def annotation_end(toks: list[Token], text: str, k: int) -> int:
+    """Token index behind the annotation at token ``k``: its dotted name and its arguments."""
+    k += 1
+    while k < len(toks) and toks[k].kind == "code" and text[toks[k].start] in ".:":
+        k += 2
+    if k < len(toks) and toks[k].kind == "code" and text[toks[k].start] == "(":
+        k = skip_group(toks, text, k)
+    return k
+
+
 def declaration(text: str, toks: list[Token] | None = None, k: int = 0) -> tuple[list[Token], int, int]:
     """Of the declaration that begins at token ``k``: the comments before its signature, the offset of its code without
     them, and the token index behind its body. Annotations (with arguments) may stand between comments."""
     toks = lex(text) if toks is None else toks
+    comments, code, k = opening(text, toks, k)
+    return comments, len(text) if code is None else code, body_end(toks, text, k)
+
+
+def opening(text: str, toks: list[Token], k: int) -> tuple[list[Token], int | None, int]:
+    """Comments and annotations from token ``k`` on: the comments, the offset of the code, the first token behind."""
     comments: list[Token] = []
     code = None
     while k < len(toks):
@@ -26,66 +42,260 @@ def declaration(text: str, toks: list[Token] | None = None, k: int = 0) -> tuple
             k += 1
         elif t.kind == "code" and text[t.start] == "@" and not text.startswith("@interface", t.start):
             code = t.start if code is None else code
-            k += 1
-            while k < len(toks) and toks[k].kind == "code" and text[toks[k].start] in ".:":
-                k += 2
-            if k < len(toks) and toks[k].kind == "code" and text[toks[k].start] == "(":
-                k = skip_group(toks, text, k)
+            k = annotation_end(toks, text, k)
         else:
             break
     if k < len(toks) and code is None:
         code = toks[k].start
-    return comments, len(text) if code is None else code, body_end(toks, text, k)
+    return comments, code, k
 
 
 #: Words that begin no function although brackets and a brace may follow.
 KEYWORDS = frozenset("if for while switch catch when return new throw else do try synchronized class interface object enum record assert super this init get set".split())
+#: Words that open a class; words in front of a property; what carries a class header or a signature on.
+CLASS_WORDS = frozenset("class interface object enum record @interface".split())
+PROPERTY = frozenset("val var let const typealias import package".split())
+MODIFIERS = frozenset("public private protected internal inline".split())
+HEADER = frozenset("{ : , ( < extends implements where permits constructor".split())
+SIGNATURE = frozenset("{ = : - , | & where throws default".split())
+#: Signs after which, and before which, a line break does not end an expression.
+OPEN_AFTER = frozenset("= + - * / % & | ^ < , . : => -> extends implements throws where by else".split())
+OPEN_BEFORE = frozenset(". ? : = + - * / % & | ^ < > , ) ] else instanceof".split())
+OPEN_BEFORE_KOTLIN = OPEN_BEFORE | frozenset("as in is by".split())
 
 
 def functions(text: str) -> list[dict]:
     """Functions and methods of a source file: name, enclosing class, code without comments before it, documentation.
 
-    A name followed by a bracket group and a body or ``=`` is a function if the tokens since the last boundary
-    (``;``, ``{``, ``}``) hold no ``=`` or control word. Nested ones inside bodies of functions are not looked for.
+    A name followed by a parameter list (type parameters may stand between) is a function if it has a body or ``=``, or
+    if it is declared without one in a class or by ``fun`` or ``function``, and the tokens since the last boundary hold
+    no ``=`` or control word; so is a name that is given an arrow function or function expression. A boundary is ``;``,
+    ``{``, ``}``, the end of a declaration, or the line break behind a property or class header without any of these.
+    Nested ones inside bodies of functions are not looked for.
     """
     toks, out, classes = lex(text), [], []
-    k, fresh = 0, 0
+    n = len(toks)
 
     def at(i: int) -> str:
-        return text[toks[i].start : toks[i].end]
-
-    depth = 0
-    while k < len(toks):
+        return text[toks[i].start : toks[i].end] if 0 <= i < n else ""
+
+    def sign(i: int) -> str:
+        """The code at ``i``, with the two-character arrows as one sign."""
+        return text[toks[i].start - 1] + ">" if at(i) == ">" and text[toks[i].start - 1 : toks[i].start] in ("=", "-") else at(i)
+
+    def after(i: int) -> int:
+        while i < n and toks[i].kind in ("blank", "comment"):
+            i += 1
+        return i
+
+    def word(i: int) -> bool:
+        return i < n and toks[i].kind == "code" and (at(i)[0].isalpha() or at(i)[0] in "_$")
+
+    def breaks(i: int) -> bool:
+        return toks[i].kind == "blank" and ("\n" in at(i) or "\r" in at(i))
+
+    def head(k: int) -> list[str]:
+        """Code words since the last boundary, without annotations and their arguments."""
+        i, words = fresh, []
+        while i < k:
+            if toks[i].kind == "code":
+                if at(i)[0] == "@" and at(i) != "@interface":
+                    i = annotation_end(toks, text, i)
+                    continue
+                words.append(sign(i))
+            i += 1
+        return words
+
+    def parameters(i: int) -> int:
+        """Index of the bracket that opens the parameter list at ``i`` or behind type parameters there; else ``n``."""
+        i = after(i + 1) if at(i) == "?" else i
+        if at(i) == "<":
+            level = 0
+            while i < n:
+                c = sign(i) if toks[i].kind == "code" else ""
+                if c in ("(", "[", "{"):
+                    i = skip_group(toks, text, i)
+                    continue
+                if c in (";", "}", ")"):
+                    return n
+                level += (c == "<") - (c == ">")
+                i += 1
+                if not level:
+                    break
+            i = after(i)
+        return i if i < n and toks[i].kind == "code" and at(i) == "(" else n
+
+    def value_end(i: int) -> int:
+        """Index behind the expression that begins at ``i``."""
+        last = "="
+        while i < n:
+            if breaks(i) and last not in OPEN_AFTER and at(after(i)) not in (OPEN_BEFORE_KOTLIN if kotlin else OPEN_BEFORE):
+                return i
+            if toks[i].kind == "code":
+                if at(i) in (";", "}", ")", "]"):
+                    return i
+                if at(i) in ("(", "[", "{"):
+                    i, last = skip_group(toks, text, i), ")"
+                    continue
+                last = sign(i)
+            elif toks[i].kind == "string":
+                last = '"'
+            i += 1
+        return i
+
+    def finish(i: int) -> tuple[int, bool]:
+        """Index behind the declaration whose parameter list ends before ``i``, and whether it has a body."""
+        last = ")"
+        while i < n:
+            if breaks(i) and last not in OPEN_AFTER and at(after(i)) not in SIGNATURE:
+                return i, False
+            if toks[i].kind == "code":
+                c = sign(i)
+                if c == "{" and last not in (":", "|", "&", "<", ",", "=>"):
+                    return skip_group(toks, text, i), True
+                if c in ("(", "[", "{"):
+                    i, last = skip_group(toks, text, i), ")"
+                    continue
+                if c == ";":
+                    return i + 1, False
+                if c in ("}", ")", "]"):
+                    return i, False
+                if c == "=" and sign(i + 1) != "=>":
+                    return value_end(i + 1), True
+                last = c
+            i += 1
+        return i, False
+
+    def arrow_end(i: int) -> int | None:
+        """Index behind the arrow function or function expression that begins at ``i``; None if there is none."""
+        i = after(i)
+        if at(i) == "async":
+            i = after(i + 1)
+        if at(i) == "function":
+            while i < n and not (toks[i].kind == "code" and at(i) in ("(", ";", "}")):
+                i += 1
+            end, body = finish(skip_group(toks, text, i)) if at(i) == "(" else (i, False)
+            return end if body else None
+        i = parameters(i) if at(i) in ("(", "<") else i
+        if not (word(i) or at(i) == "("):
+            return None
+        i = after(skip_group(toks, text, i) if at(i) == "(" else i + 1)
+        if at(i) == ":":
+            while i < n and sign(i) != "=>" and not (toks[i].kind == "code" and at(i) in (";", "}", ")")):
+                i = skip_group(toks, text, i) if toks[i].kind == "code" and at(i) in ("(", "[", "{") else i + 1
+            i -= sign(i) == "=>"
+        if at(i) != "=" or sign(i + 1) != "=>":
+            return None
+        i = after(i + 2)
+        return skip_group(toks, text, i) if at(i) == "{" else value_end(i)
+
+    def header_end(i: int) -> int:
+        """Index of what ends a class header: its brace, or the line break behind a class without a body."""
+        last = ""
+        while i < n:
+            if breaks(i) and last not in OPEN_AFTER:
+                j = after(i)
+                while at(j)[:1] == "@" or at(j) in MODIFIERS:
+                    j = after(annotation_end(toks, text, j) if at(j)[0] == "@" else j + 1)
+                if at(after(i)) not in HEADER and (at(j) != "constructor" or at(i).count("\n") > 1):
+                    return i
+            if toks[i].kind == "code":
+                if at(i) in ("{", "}", ";"):
+                    return i
+                if at(i) in ("(", "["):
+                    i, last = skip_group(toks, text, i), ")"
+                    continue
+                last = sign(i)
+            i += 1
+        return i
+
+    def ends(k: int) -> bool:
+        """Whether the line break at ``k`` ends a member that has neither brace nor semicolon."""
+        h = head(k)
+        if not h:
+            return False
+        if at(k + 1).startswith("/**"):
+            return True
+        if "fun" in h or not ("=" in h or ":" in h or PROPERTY & set(h)):
+            return False
+        j = after(k)
+        if kotlin and at(j) in MODIFIERS:
+            j = after(j + 1)
+        if kotlin and at(j) in ("get", "set"):
+            return False
+        return h[-1] not in OPEN_AFTER and at(after(k)) not in (OPEN_BEFORE_KOTLIN if kotlin else OPEN_BEFORE)
+
+    kotlin = any(toks[i].kind == "code" and at(i) in ("fun", "val") and i + 2 < n and toks[i + 1].kind == "blank" and (word(i + 2) or at(i + 2)[0] in "<`") for i in range(n))
+    k = fresh = depth = nest = 0
+    outer: list[int] = []
+    while k < n:
         t = toks[k]
-        if t.kind == "code" and at(k) in ("{", "}", ";"):
-            depth += (at(k) == "{") - (at(k) == "}")
+        if breaks(k) and not nest and ends(k):
+            fresh = k
+        named = word(k) or (t.kind == "string" and at(k)[0] == "`" and head(k)[-1:] == ["fun"])
+        if t.kind != "code" and not named:
+            k += 1
+            continue
+        c = at(k)
+        if c in ("{", "}", ";"):
+            if c == "{":
+                outer.append(nest)
+                nest = 0
+            elif c == "}":
+                nest = outer.pop() if outer else 0
+            elif classes and depth == classes[-1][1]:
+                classes[-1] = (*classes[-1][:2], False)
+            depth += (c == "{") - (c == "}")
             while classes and depth < classes[-1][1]:
                 classes.pop()
             k += 1
             fresh = k
             continue
-        if t.kind == "code" and at(k) in ("class", "interface", "object", "enum", "record"):
-            j = next((i for i in range(k + 1, min(k + 3, len(toks))) if toks[i].kind == "code"), None)
-            name = at(j) if j is not None else None
-            while k < len(toks) and not (toks[k].kind == "code" and at(k) in ("{", ";")):
-                k = skip_group(toks, text, k) if toks[k].kind == "code" and at(k) == "(" else k + 1
-            if k < len(toks) and at(k) == "{":
-                depth += 1
-                classes.append((name, depth))
-                k += 1
-            fresh = k
+        if c in ("(", "[", ")", "]"):
+            nest = max(0, nest + (1 if c in ("(", "[") else -1))
+            k += 1
+            continue
+        if c in CLASS_WORDS:
+            j = after(k + 1)
+            j = after(j + 1) if c == "enum" and at(j) == "class" else j
+            if word(j) or (c == "object" and (at(j) == "{" or (at(j) == ":" and head(k)[-1:] and head(k)[-1] in ("=", "companion", "(", ",", "return", "by", "->")))):
+                name = at(j) if word(j) and at(j) not in ("extends", "implements") else "Companion" if c == "object" else None
+                k = header_end(j)
+                if at(k) == "{":
+                    depth += 1
+                    classes.append((name, depth, c == "enum"))
+                    outer.append(nest)
+                    nest = 0
+                    k += 1
+                fresh = k
+                continue
+        elif c[0] == "@":
+            k = annotation_end(toks, text, k)
             continue
-        if t.kind == "code" and (at(k)[0].isalpha() or at(k)[0] in "_$") and at(k) not in KEYWORDS:
-            j = k + 1
-            while j < len(toks) and toks[j].kind == "blank":
-                j += 1
-            head = [at(i) for i in range(fresh, k) if toks[i].kind == "code"]
-            if j < len(toks) and toks[j].kind == "code" and at(j) == "(" and "=" not in head and "." not in head[-1:] and not any(h in ("new", "return", "throw") for h in head) and "@" != (head[-1][:1] if head else ""):
-                comments, code, end = declaration(text, toks, fresh)
-                stop = toks[end - 1].end if end else 0
-                body = text[code:stop]
-                if "{" in body or "=" in body:
-                    out.append({"name": at(k), "class_name": classes[-1][0] if classes else None, "code": body.strip(), "doc": description(comments, text, at(k))})
+        member = bool(classes) and depth == classes[-1][1]
+        if c == "=" and not nest and sign(k + 1) != "=>":
+            h = head(k)
+            end = arrow_end(k + 1) if h and "=" not in h and not kotlin else None
+            if end is not None and (member or PROPERTY & set(h)):
+                name = next((h[i - 1] for i in range(1, len(h)) if h[i] in (":", "?", "!")), h[-1])
+                comments, code, _ = opening(text, toks, fresh)
+                out.append({"name": name, "class_name": classes[-1][0] if classes else None, "code": text[code : toks[end - 1].end].strip(), "doc": description(comments, text, name, stop=toks[end - 1].end)})
+                k = fresh = end
+                continue
+        if named and not nest:
+            h = head(k)
+            p = parameters(after(k + 1))
+            known = c not in KEYWORDS or "fun" in h[-1:] or (h[-1:] == ["."] and "fun" in h) or (member and not kotlin)
+            typed = "fun" in h or c == "constructor" if kotlin else "." not in h[-1:]
+            if p < n and known and typed and not (member and classes[-1][2]) and "=" not in h and not any(w in ("new", "return", "throw") or w in PROPERTY for w in h):
+                end, body = finish(skip_group(toks, text, p))
+                if body or "fun" in h or "function" in h or (member and not kotlin and c not in ("new", "constructor")):
+                    comments, code, _ = opening(text, toks, fresh)
+                    name = c.strip("`")
+                    out.append({"name": name, "class_name": classes[-1][0] if classes else None, "code": text[code : toks[end - 1].end].strip(), "doc": description(comments, text, name, stop=toks[end - 1].end)})
+                    k = fresh = end
+                    continue
+                if kotlin or "{" not in text[toks[p].start : toks[end - 1].end]:
                     k = fresh = end
                     continue
         k += 1
@@ -189,9 +399,10 @@ def blocks(comments: list[Token], text: str) -> list[str]:
     return out
 
 
-def description(comments: list[Token], text: str, name: str, class_name: str | None = None) -> str | None:
-    """The documentation of a declaration, or None if it is trivial; the last non-trivial comment block stands."""
-    params = re.findall(r"[A-Za-z_]\w*", text[comments[-1].end : comments[-1].end + 400].split("{")[0]) if comments else []
+def description(comments: list[Token], text: str, name: str, class_name: str | None = None, stop: int | None = None) -> str | None:
+    """The documentation of a declaration that ends at ``stop``, or None if it is trivial; the last non-trivial comment
+    block stands."""
+    params = re.findall(r"[A-Za-z_]\w*", text[comments[-1].end : comments[-1].end + 400][: None if stop is None else max(0, stop - comments[-1].end)].split("{")[0]) if comments else []
     names = [name, class_name or "", *params]
     for body in reversed(blocks(comments, text)):
         raw = plain(body)

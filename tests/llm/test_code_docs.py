@@ -44,3 +44,47 @@ def test_functions_of_a_file(spark):
     assert got[0]["code"].endswith("return 2; }")
     files = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
     assert [r["name"] for r in cd.file_pairs(files, "id", "text").collect()] == ["open"]
+
+
+SAID = "Opens the archive and checks every entry."
+
+
+def names(text):
+    return [f["name"] for f in cd.functions(text) if f["doc"] == SAID]
+
+
+def test_members_without_braces():
+    d = f"/** {SAID} */\n"
+    assert names(f"class A {{\n/** Another text about nothing of any use here. */\nconstructor(x: String) : this(0)\n\n{d}fun open(a: Int): Int {{ return 1 }}\n{d}fun shut() = 3\n}}") == ["open", "shut"]
+    assert names(f"class A {{\nval x: Int = 3\n{d}fun a() {{}}\nval y by lazy {{ 3 }}\nvar z: Int\n  get() = 3\n  private set(v) {{ field = v }}\n{d}fun b() {{}}\ndata class P(val a: Int)\n{d}fun c() {{}}\n}}") == ["a", "b", "c"]
+    assert names(f"interface A {{\n{d}fun a(x: Int): Int\n{d}fun b()\n}}") == ["a", "b"]
+    assert names(f"interface A {{\n{d}int a(int x);\n{d}String b() default \"x\";\n}}") == ["a", "b"]
+    assert names(f"abstract class A {{\n{d}abstract a(x: string): number;\n{d}b(): void\n}}") == ["a", "b"]
+    assert names(f"class A {{\nx = 3\ny: string\n{d}a() {{}}\n{d}get(k: string) {{ return 1 }}\n{d}record(x) {{}}\n}}") == ["a", "get", "record"]
+
+
+def test_annotations_type_parameters_and_arrows():
+    d = f"/** {SAID} */\n"
+    assert names(f'class A {{\n{d}@Named(value = "x", of = b("("))\nfun a() {{}}\n}}') == ["a"]
+    assert names(f"class A {{\n{d}@Size(min = 1) private int b() {{ return 1; }}\n}}") == ["b"]
+    assert names(f"class A {{\n{d}pick<T extends {{ a: string }}>(x: T): {{ b: T }} {{ return 1; }}\n{d}fold<A, B>(f: (a: A) => B): B {{}}\n}}") == ["pick", "fold"]
+    assert names(f"{d}fun <T> List<T>.open(): T = first()\n{d}fun String.shut(): Int {{ return 1 }}\n") == ["open", "shut"]
+    assert names(f"class A {{\n{d}a = (x) => {{ return x; }}\n{d}private b: (x: number) => number = async (x: number): Promise<number> => x + 1;\n{d}static c = x => x\n}}\n{d}export const f = function (x) {{ return x; }};") == ["a", "b", "c", "f"]
+    whole = cd.functions(f"class A {{\n{d}fun a(): Int =\n    list(3)\n        .first()\n{d}fun b() {{}}\n}}")
+    assert [f["code"] for f in whole] == ["fun a(): Int =\n    list(3)\n        .first()", "fun b() {}"]
+    assert names(f"enum E {{\n{d}RED(1), {d}BLUE(2) {{ }};\n{d}int a() {{ return 1; }}\n}}") == ["a"]
+
+
+def test_classes_give_their_method_rows(sf):
+    import pandas as pd
+
+    rows = pd.read_parquet(f"{sf}/declarations.parquet").drop_duplicates("decl_id").dropna(subset=["full_text"])
+    flat = lambda s: " ".join(s.split())
+    wanted, seen = 0, set()
+    methods = [flat(t[cd.declaration(t)[1] :]) for t in rows[rows.declaration_type == "METHOD"].full_text]
+    for text in rows[(rows.declaration_type == "CLASS") & rows.lang.isin(["kotlin", "typescript"])].full_text:
+        got, whole = {flat(f["code"]) for f in cd.functions(text)}, flat(text)
+        inside = {m for m in methods if m in whole}
+        wanted += len(inside)
+        seen |= inside - got
+    assert wanted and not seen
