@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 from html.entities import html5
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Element names of HTML and of the tags used in wiki text.
@@ -327,34 +328,83 @@ def collapse(shapes: list[str], widest: int = 6) -> list[tuple]:
     return seq
 
 
-def align(wrapper: list[tuple], sample: list[tuple], most: int = 400) -> list[tuple]:
-    """Union-free wrapper of two token expressions: matching items stay, others become optional.
+#: Bits of the table that one alignment holds at most; larger ones are halved until their parts fit.
+TABLE_BITS = 1 << 28
+
+
+def suffix_rows(a: list, b: list) -> list[int]:
+    """Row ``r`` has, at bit ``c``, 0 where the longest common subsequence of the last ``r`` of ``a`` with the last
+    ``c + 1`` of ``b`` is longer by one than with the last ``c``."""
+    where: dict = {}
+    for c, x in enumerate(reversed(b)):
+        where[x] = where.get(x, 0) | 1 << c
+    full = (1 << len(b)) - 1
+    rows = [full]
+    for x in reversed(a):
+        v = rows[-1]
+        u = v & where.get(x, 0)
+        rows.append(((v + u) | (v - u)) & full)
+    return rows
+
+
+def last_row(a: list, b: list) -> list[int]:
+    """Length of the longest common subsequence of ``a`` with the last ``c`` of ``b``, for each ``c``."""
+    where: dict = {}
+    for c, x in enumerate(reversed(b)):
+        where[x] = where.get(x, 0) | 1 << c
+    v = full = (1 << len(b)) - 1
+    for x in reversed(a):
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    out = [0]
+    for c in reversed(format(v, f"0{len(b)}b") if b else ""):
+        out.append(out[-1] + (c == "0"))
+    return out
 
-    Items are ``(item, repeated, optional)``. The longest common subsequence of the items decides what matches;
-    repetition on either side is kept.
-    """
-    a = [(w if len(w) == 3 else (*w, False)) for w in wrapper][:most]
-    b = [(s if len(s) == 3 else (*s, False)) for s in sample][:most]
+
+def matches(a: list, b: list, bits: int = TABLE_BITS) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence. Bits hold the table; one above ``bits`` is cut where the halves fit best."""
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+    if n > 1 and n * m > bits:
+        h = n // 2
+        front, back = last_row(a[:h][::-1], b[::-1]), last_row(a[h:], b)
+        at = max(range(m + 1), key=lambda j: front[j] + back[m - j])
+        return [*matches(a[:h], b[:at], bits), *((i + h, j + at) for i, j in matches(a[h:], b[at:], bits))]
+    rows = suffix_rows(a, b)
+    out = []
     i = j = 0
-    out: list[tuple] = []
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append((a[i][0], a[i][1] or b[j][1], a[i][2] or b[j][2]))
+    while i < n and j < m:
+        here, below = rows[n - i], rows[n - i - 1]
+        mask = (1 << (m - j)) - 1
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append((a[i][0], a[i][1], True))
+        elif not here >> (m - j - 1) & 1 or (here & mask).bit_count() == (below & mask).bit_count():
             i += 1
         else:
-            out.append((b[j][0], b[j][1], True))
             j += 1
     return out
 
 
+def align(wrapper: list[tuple], sample: list[tuple]) -> list[tuple]:
+    """Union-free wrapper of two token expressions: matching items stay, others become optional.
+
+    Items are ``(item, repeated, optional)``. The longest common subsequence of the items decides what matches;
+    repetition on either side is kept. What either expression matches, the result matches.
+    """
+    a = [(w if len(w) == 3 else (*w, False)) for w in wrapper]
+    b = [(s if len(s) == 3 else (*s, False)) for s in sample]
+    n, m = len(a), len(b)
+    out: list[tuple] = []
+    i = j = 0
+    for x, y in [*matches([w[0] for w in a], [s[0] for s in b]), (n, m)]:
+        out += [(w[0], w[1], True) for w in a[i:x]] + [(s[0], s[1], True) for s in b[j:y]]
+        if x < n:
+            out.append((a[x][0], a[x][1] or b[y][1], a[x][2] or b[y][2]))
+        i, j = x + 1, y + 1
+    return out
+
+
 def expression(wrapper: list[tuple]) -> str:
     def item(x) -> str:
         return "(" + " ".join(item(y[0]) + ("+" if y[1] else "") for y in x) + ")" if isinstance(x, tuple) else x
@@ -364,15 +414,25 @@ def expression(wrapper: list[tuple]) -> str:
 
 def infer(streams: list[list[str]]) -> list[tuple]:
     """Wrapper of several token streams by aligning one after the other, shortest first."""
-    ordered = sorted((collapse(s) for s in streams), key=lambda s: (len(s), repr(s)))
+    return fold([[(*x, False) for x in collapse(s)] for s in streams])
+
+
+def fold(wrappers: list[list[tuple]]) -> list[tuple]:
+    """Wrapper of several wrappers by aligning one after the other, shortest first."""
+    ordered = sorted(wrappers, key=lambda s: (len(s), repr(s)))
     if not ordered:
         return []
-    wrapper = [(*x, False) for x in ordered[0]]
+    wrapper = ordered[0]
     for s in ordered[1:]:
         wrapper = align(wrapper, s)
     return wrapper
 
 
+def frozen(x):
+    """Lists from JSON as tuples."""
+    return tuple(map(frozen, x)) if isinstance(x, list) else x
+
+
 def host(source):
     """Host of a URL, or the first two folders of a path."""
     return F.coalesce(F.nullif(F.regexp_extract(source, r"^[a-z]+://([^/?#]+)", 1), F.lit("")), F.nullif(F.regexp_extract(source, r"^(/[^/]+/[^/]+)/", 1), F.lit("")), F.lit(""))
@@ -426,20 +486,29 @@ def cleaned(chunks: DataFrame) -> DataFrame:
     return examined(chunks).where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"]).select("chunk_id", "text", "title")
 
 
-def wrappers(chunks: DataFrame, most: int = 64) -> DataFrame:
-    """``(host, wrapper, streams, chunks)``: a union-free regular expression over the token streams of each host.
+#: Hash buckets of a host in the rounds of a fold; the last has one.
+ROUNDS = (1 << 18, 1 << 12, 1 << 6, 1)
 
-    Text is a slot ``T``; mismatches became optional (``?``) or repeated (``+``, ``*``) items. Streams are counted per
-    host first; the wrapper is fitted on the ``most`` most frequent distinct streams of a host (a bounded fit), so no
-    task sees more than these. Null sources share the empty host.
-    """
-    counted = examined(chunks).groupBy("host", "shapes").agg(F.count(F.lit(1)).alias("n"))
-    total = counted.groupBy("host").agg(F.count(F.lit(1)).alias("streams"), F.sum("n").alias("chunks"))
-    w = Window.partitionBy("host").orderBy(F.desc("n"), F.size("shapes"), F.array_join("shapes", " "))
-    few = counted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).groupBy("host").agg(F.array_sort(F.collect_list("shapes")).alias("s"))
 
-    def run(frames):
-        for pdf in frames:
-            yield pd.DataFrame({"host": pdf["host"], "wrapper": [expression(infer([list(x) for x in s])) for s in pdf["s"]]})
+def wrappers(chunks: DataFrame) -> DataFrame:
+    """``(host, wrapper, streams, chunks)``: a union-free regular expression over the token streams of each host.
 
-    return few.mapInPandas(run, "host string, wrapper string").join(total, "host")
+    Text is a slot ``T``; mismatches became optional (``?``) or repeated (``+``, ``*``) items. All distinct streams of a
+    host, in full length, are folded: first those of a hash bucket, then in rounds the wrappers of 64 buckets each, so
+    that a task sees few of them at once and the result matches every stream. Null sources share the empty host.
+    """
+    got = examined(chunks).groupBy("host", "shapes").agg(F.count(F.lit(1)).alias("chunks"))
+    got = got.select("host", F.pmod(F.xxhash64("shapes"), F.lit(ROUNDS[0])).alias("bucket"), F.to_json("shapes").alias("wrapper"), F.lit(1).cast("bigint").alias("streams"), "chunks")
+    for r, buckets in enumerate(ROUNDS):
+
+        def run(frames, first=r == 0, last=buckets == 1):
+            for pdf in frames:
+                made = []
+                for few in pdf["wrappers"]:
+                    w = infer([json.loads(x) for x in few]) if first else fold([[frozen(y) for y in json.loads(x)] for x in few])
+                    made.append(expression(w) if last else json.dumps(w))
+                yield pdf.drop(columns="wrappers").assign(wrapper=made)[["host", "bucket", "wrapper", "streams", "chunks"]]
+
+        got = got.withColumn("bucket", F.col("bucket") % buckets).groupBy("host", "bucket").agg(F.collect_list("wrapper").alias("wrappers"), F.sum("streams").alias("streams"), F.sum("chunks").alias("chunks"))
+        got = got.mapInPandas(run, "host string, bucket bigint, wrapper string, streams bigint, chunks bigint")
+    return got.select("host", "wrapper", "streams", "chunks")

@@ -1,3 +1,6 @@
+import random
+import re
+
 from conftest import clash
 
 from chunkwise.llm import markup as mk
@@ -48,3 +51,35 @@ def test_rows(spark):
     assert mk.wrappers(df).count() == 3
     empty = spark.createDataFrame([], S)
     assert mk.residue(empty).count() == mk.cleaned(empty).count() == mk.wrappers(empty).count() == 0
+
+
+def pattern(wrapper, letters):
+    """The wrapper as a regular expression over one letter for each shape."""
+    def item(x):
+        return "(?:" + "".join(item(y[0]) + ("+" if y[1] else "") for y in x) + ")" if isinstance(x, tuple) else letters[x]
+
+    return re.compile("".join(item(x) + ("*" if rep and opt else "+" if rep else "?" if opt else "") for x, rep, opt in wrapper))
+
+
+def test_wrapper_matches_every_stream_in_full_length():
+    rnd = random.Random(3)
+    shapes = [f"<{c}>" for c in "abcdefgh"]
+    letters = dict(zip(shapes, "abcdefgh"))
+    streams = [[rnd.choice(shapes) for _ in range(rnd.choice((3, 9, 30)))] for _ in range(12)] + [[rnd.choice(shapes) for _ in range(900)]]
+    halves = mk.fold([mk.infer(streams[:5]), mk.infer(streams[5:])])
+    for w in (mk.infer(streams), halves):
+        assert [s for s in streams if not pattern(w, letters).fullmatch("".join(letters[x] for x in s))] == []
+    a, b = [rnd.choice("abc") for _ in range(60)], [rnd.choice("abc") for _ in range(70)]
+    whole, cut = mk.matches(a, b), mk.matches(a, b, 40)
+    assert len(whole) == len(cut) and all(a[i] == b[j] for i, j in whole + cut) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(cut, cut[1:]))
+
+
+def test_wrappers_cover_all_streams_of_a_host(spark):
+    tags = sorted(t for t in mk.TAGS if t not in mk.DROPPED)[:100]
+    rows = [(str(i), "/srv/a/f", f"x<{t}>y</{t}>", None) for i, t in enumerate(tags)]
+    rnd = random.Random(5)
+    rows.append(("long", "/srv/a/f", "".join(f"<{rnd.choice(tags[:40])}>" for _ in range(900)) + "<wbr>", None))
+    rows.append(("twice", "/srv/a/f", "x<b>y</b>", None))
+    (got,) = mk.wrappers(spark.createDataFrame(rows, S)).collect()
+    assert (got["host"], got["streams"], got["chunks"]) == ("/srv/a", 101, 102)
+    assert [t for t in (*tags, "wbr") if f"<{t}>" not in got["wrapper"]] == []
