@@ -439,7 +439,7 @@ def host(source):
 
 
 #: Texts without any of these signs hold no markup and never reach Python.
-HINT = r"[<&\[{'=\\`*_~]|--"
+HINT = r"(?m)[<&\[{'=\\`*_~]|--|^\|[-}+]"
 
 
 def examined(chunks: DataFrame) -> DataFrame:

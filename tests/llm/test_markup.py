@@ -83,3 +83,10 @@ def test_wrappers_cover_all_streams_of_a_host(spark):
     (got,) = mk.wrappers(spark.createDataFrame(rows, S)).collect()
     assert (got["host"], got["streams"], got["chunks"]) == ("/srv/a", 101, 102)
     assert [t for t in (*tags, "wbr") if f"<{t}>" not in got["wrapper"]] == []
+
+
+def test_middle_of_a_wiki_table_is_examined(spark):
+    rows = [("a", "/srv/a/f", "|-\n| a || b", None), ("b", "/srv/a/f", "x | y\n|}", None), ("c", "/srv/a/f", None, "|+ caption"), ("d", "/srv/a/f", "| a | b |\n| c |- d |", None)]
+    df = spark.createDataFrame(rows, S)
+    assert sorted(r["chunk_id"] for r in mk.residue(df).collect()) == sorted(r["chunk_id"] for r in mk.cleaned(df).collect()) == ["a", "b", "c"]
+    assert [r["chunks"] for r in mk.wrappers(df).collect()] == [3]
