@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -279,7 +280,7 @@ def functions(text: str) -> list[dict]:
             if end is not None and (member or PROPERTY & set(h)):
                 name = next((h[i - 1] for i in range(1, len(h)) if h[i] in (":", "?", "!")), h[-1])
                 comments, code, _ = opening(text, toks, fresh)
-                out.append({"name": name, "class_name": classes[-1][0] if classes else None, "code": text[code : toks[end - 1].end].strip(), "doc": description(comments, text, name, stop=toks[end - 1].end)})
+                out.append({"name": name, "class_name": classes[-1][0] if classes else None, "code": text[code : toks[end - 1].end].strip(), "doc": description(comments, text, name, toks=toks, end=end)})
                 k = fresh = end
                 continue
         if named and not nest:
@@ -292,7 +293,7 @@ def functions(text: str) -> list[dict]:
                 if body or "fun" in h or "function" in h or (member and not kotlin and c not in ("new", "constructor")):
                     comments, code, _ = opening(text, toks, fresh)
                     name = c.strip("`")
-                    out.append({"name": name, "class_name": classes[-1][0] if classes else None, "code": text[code : toks[end - 1].end].strip(), "doc": description(comments, text, name, stop=toks[end - 1].end)})
+                    out.append({"name": name, "class_name": classes[-1][0] if classes else None, "code": text[code : toks[end - 1].end].strip(), "doc": description(comments, text, name, toks=toks, end=end)})
                     k = fresh = end
                     continue
                 if kotlin or "{" not in text[toks[p].start : toks[end - 1].end]:
@@ -399,10 +400,28 @@ def blocks(comments: list[Token], text: str) -> list[str]:
     return out
 
 
-def description(comments: list[Token], text: str, name: str, class_name: str | None = None, stop: int | None = None) -> str | None:
-    """The documentation of a declaration that ends at ``stop``, or None if it is trivial; the last non-trivial comment
-    block stands."""
-    params = re.findall(r"[A-Za-z_]\w*", text[comments[-1].end : comments[-1].end + 400][: None if stop is None else max(0, stop - comments[-1].end)].split("{")[0]) if comments else []
+def signature_names(text: str, toks: list[Token], start: int, end: int) -> list[str]:
+    """Words of the code from offset ``start`` up to the body: a brace or ``=`` outside brackets, or token ``end``."""
+    k = bisect_left(toks, start, key=lambda t: t.start)
+    names: list[str] = []
+    depth = 0
+    while k < end:
+        t = toks[k]
+        if t.kind == "code":
+            c = text[t.start]
+            if not depth and (c == "{" or (c == "=" and not text.startswith("=>", t.start))):
+                break
+            depth += (c in "([{") - (c in ")]}")
+            names += re.findall(r"[A-Za-z_]\w*", text[t.start : t.end])
+        k += 1
+    return names
+
+
+def description(comments: list[Token], text: str, name: str, class_name: str | None = None, toks: list[Token] | None = None, end: int | None = None) -> str | None:
+    """The documentation of a declaration that ends before token ``end``, or None if it is trivial; the last non-trivial
+    comment block stands."""
+    toks = lex(text) if toks is None else toks
+    params = signature_names(text, toks, comments[-1].end, len(toks) if end is None else end) if comments else []
     names = [name, class_name or "", *params]
     for body in reversed(blocks(comments, text)):
         raw = plain(body)
@@ -433,7 +452,7 @@ def declaration_pairs(declarations: DataFrame) -> DataFrame:
             for did, name, cls, lang, text in pdf.itertuples(index=False):
                 toks = lex(text)
                 comments, code, end = declaration(text, toks)
-                doc = description(comments, text, name or "", cls) if comments else None
+                doc = description(comments, text, name or "", cls, toks, end) if comments else None
                 if doc:
                     rows.append((did, name, cls, lang, text[code : toks[end - 1].end], doc))
             yield pd.DataFrame(rows, columns=["decl_id", "declaration_name", "class_name", "lang", "code", "description"])

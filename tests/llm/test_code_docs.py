@@ -88,3 +88,10 @@ def test_classes_give_their_method_rows(sf):
         wanted += len(inside)
         seen |= inside - got
     assert wanted and not seen
+
+
+def test_names_of_a_long_signature_are_excused():
+    params = ", ".join(f"int number{i}" for i in range(60))
+    assert doc(f"/** The archive, window, ledger and cellar. */\nint readFile({params}, int archive, int window, int ledger, int cellar) {{}}") is None
+    assert doc("/** The archive, window, ledger and cellar. */\n@Sizes({1, 2})\nint readFile(int archive, int window, int ledger, int cellar) {}") is None
+    assert doc("/** The archive, window, ledger and cellar. */\nint readFile() { int archive, window, ledger, cellar; }")
