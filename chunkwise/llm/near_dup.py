@@ -204,15 +204,15 @@ def near_duplicate_pairs(chunks: DataFrame, p: Params) -> DataFrame:
     return every.where("x <> y").select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components ``(node, component)`` of the edges by alternating large-star and small-star steps.
 
     The component is the smallest node. Each round is a group-by and a join; lineage is cut in the shared folder each
-    round and rounds end when nothing changes. Isolated nodes have no edge and so no row.
+    round and rounds end only when nothing changes. Isolated nodes have no edge and so no row.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = persist_table(e, "components")
-    for _ in range(most):
+    while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -95,3 +95,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 20)] + [(30, 31), (31, 30), (40, 40)]
     got = {r["node"]: r["component"] for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 21)}, 30: 30, 31: 30}
+
+
+def test_components_go_on_until_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(nd, "range", lambda *a: range(1), raising=False)  # any bound on the rounds is one
+    edges = [(i, i + 1) for i in range(1, 20)]
+    got = {r["node"]: r["component"] for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 21)}
