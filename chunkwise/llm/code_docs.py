@@ -103,7 +103,8 @@ def functions(text: str) -> list[dict]:
                 if at(i)[0] == "@" and at(i) != "@interface":
                     i = annotation_end(toks, text, i)
                     continue
-                words.append(sign(i))
+                if sign(i + 1) != "=>":
+                    words.append(sign(i))
             i += 1
         return words
 
