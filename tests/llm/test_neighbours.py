@@ -36,6 +36,25 @@ def test_recall_with_many_cells(spark):
     assert recall >= 0.9 and all(len(v) == 3 for v in got.values())
 
 
+def test_depth_follows_the_rows():
+    assert nb.fans(1000, nb.Params()) == [1] and nb.fans(200_000, nb.Params()) == [128]
+    assert nb.fans(33_000_000, nb.Params()) == [128, 128]
+    for n in (10**3, 10**6, 10**9, 10**11):
+        cells = int(np.prod(nb.fans(n, nb.Params()), dtype=object))
+        assert max(nb.fans(n, nb.Params())) <= 256 and (n < 3000 or n / cells < 3000)
+
+
+def test_recall_over_two_and_three_levels(spark):
+    rows = families(700)
+    want = brute(rows)
+    for fan in (16, 4):
+        p = nb.Params(cell=80, fan=fan, probes=6)
+        assert len(nb.fans(len(rows), p)) == (2 if fan == 16 else 3)
+        got = near(spark, rows, p)
+        recall = sum(len(set(got[k]) & want[k]) for k in want) / sum(map(len, want.values()))
+        assert recall >= 0.9 and all(len(v) == 3 for v in got.values()), (fan, recall)
+
+
 def test_one_cell_is_exact_and_units_change_nothing(spark):
     rows = families(30)
     want = brute(rows)
@@ -63,4 +82,4 @@ def test_partition_is_balanced():
     sizes = np.bincount(label, minlength=16)
     assert sizes.max() - sizes.min() <= 4
     w, b = nb.fit(x, 16, nb.Params())
-    assert np.bincount(nb.route(x, w, b, 1)[:, 0], minlength=16).max() <= 3 * len(x) / 16
+    assert np.bincount(nb.route(x, (w, b), {}, nb.Params(probes=1))[0][:, 0], minlength=16).max() <= 3 * len(x) / 16
