@@ -204,7 +204,10 @@ class Finder:
         if EAST_ASIAN.search(text):
             out += self.wide_readings(text)
         if HIGH_RUN.search(text):
-            out += [n for n in two_byte_passages(text) if not any(a < n[1] and n[0] < b for a, b, _ in out)]
+            for n in two_byte_passages(text):
+                within = [x for x in out if x[0] < n[1] and n[0] < x[1]]
+                if 2 * sum(b - a for a, b, _ in within) < n[1] - n[0]:
+                    out = [x for x in out if x not in within] + [n]
         if SINGLE.search(text):
             out += self.single_byte(text, [(a, b) for a, b, _ in out])
         if ISOLATED in text:
