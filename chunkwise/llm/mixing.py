@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from chunkwise.llm.encode import VOCABULARY, token_counts
 from chunkwise.session import persist_table
 
-BUCKETS = 256
+#: Hash ranges of a source in which prefix sums run, at least; more from ``RANGE_ROWS`` rows a range on.
+BUCKETS, RANGE_ROWS = 256, 500_000
 
 
 def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -35,11 +36,6 @@ def plan(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     return rows
 
 
-def found(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Sources that cannot reach their target share."""
-    return plan(sized(documents, vocabulary), targets).where("short").select("source")
-
-
 def schedule_cdf(t, ramp):
     """Integral from 0 to ``t`` of the normalised weight ``1 + ramp * (2t - 1)``: falling for ramp < 0, rising for > 0."""
     return t * (1 - ramp) + ramp * t * t
@@ -53,30 +49,49 @@ def schedule_inverse(u, ramp):
 
 
 def ramps(targets: DataFrame) -> DataFrame:
-    """Default curriculum: sources that repeat more rise, others fall; slopes lie strictly between -1 and 1."""
+    """Curriculum where none is given: small sources, which repeat most, come to the fore towards the end."""
     r = F.col("max_repeats").cast("double")
     return targets.select("source", ((r - 2.5) / (F.abs(r - 2.5) + 1.5)).alias("ramp"))
 
 
+def schedules(plan: DataFrame, ramp: DataFrame) -> DataFrame:
+    """``plan`` with the slope ``ramp`` of each source's weight ``given * (1 + ramp * (2t - 1))`` over training time t.
+
+    Slopes are shifted by their mean, weighted by ``given``, and then scaled down together until none is beyond -1..1. So
+    no weight is ever negative and the weights of all sources sum to the size of the mixture at every t: t is the part
+    of all tokens that was trained on, and the share of a source at t is its weight over that sum. Sources without a
+    slope take part with slope 0.
+    """
+    one = ramp.where("source IS NOT NULL AND ramp IS NOT NULL").groupBy("source").agg(F.max("ramp").alias("raw"))
+    p = plan.join(one, "source", "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+    mean = p.agg((F.sum(F.col("raw") * F.col("given")) / F.sum("given")).alias("mean"))
+    p = p.join(F.broadcast(mean)).withColumn("raw", F.col("raw") - F.coalesce("mean", F.lit(0.0)))  # one row
+    most = p.agg(F.greatest(F.max(F.abs("raw")), F.lit(1.0)).alias("steepest"))
+    return p.join(F.broadcast(most)).withColumn("ramp", F.col("raw") / F.col("steepest")).drop("raw", "mean", "steepest")
+
+
 def mixture(tokens: DataFrame, targets: DataFrame, seed: int = 17, ramp: DataFrame | None = None) -> DataFrame:
     """``(source, doc_id, copy, tokens, position)``: the mixture; ``position`` in 0..1 is the place in training.
 
-    Each source's weight at time t is its share times ``1 + ramp * (2t - 1)``. Its documents stand in a random order of
-    fixed ``seed``, pass after pass; the cumulative tokens of a document (its middle) are a part of the source's demand,
-    and the inverted integral of the schedule gives the time. Taken are documents that begin before the demand is met,
-    so a source overshoots by less than one document, and no document is used more than ``max_repeats`` times.
-    Empty and null texts have no tokens and are left out; rows repeated with the same ``doc_id`` count once per row.
-    Prefix sums run in ``BUCKETS`` hash ranges per source, with the sums of the ranges added, so that a source that
-    holds a third of all rows is never in one task; passes are rows made from one prefix sum.
+    Each source's weight at time t is its size in the mixture times ``1 + ramp * (2t - 1)``, normalised over all sources
+    (:func:`schedules`). Its documents stand in a random order of fixed ``seed``, pass after pass; the cumulative tokens
+    of a document (its middle) are a part of the source's demand, and the inverted integral of the schedule gives the
+    time. Taken are documents that begin before the demand is met, so a source overshoots by less than one document,
+    and no document is used more than ``max_repeats`` times. Empty and null texts have no tokens and are left out; rows
+    repeated with the same ``doc_id`` count once per row.
+    Prefix sums run in hash ranges per source, their number in proportion to the rows, with the sums of the ranges
+    added; documents meet the plan of their source by source and range, so that a source that holds a third of all rows
+    is never in one task; passes are rows made from one prefix sum.
     """
-    p = plan(tokens, targets).join(ramp if ramp is not None else ramps(targets.dropDuplicates(["source"])), "source", "left").withColumn("ramp", F.coalesce("ramp", F.lit(0.0)))
-    p = p.where("tokens > 0 AND given > 0").select("source", F.col("tokens").alias("all"), "given", "max_repeats", "ramp")
+    p = plan(tokens, targets).where("tokens > 0 AND given > 0")
+    p = schedules(p, ramp if ramp is not None else ramps(targets)).select("source", F.col("tokens").alias("all"), "given", "max_repeats", "ramp")
+    buckets = max(BUCKETS, 1 << (tokens.count() // RANGE_ROWS).bit_length())
     docs = tokens.select("doc_id", "source", "tokens").where("tokens > 0 AND source IS NOT NULL").withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
-    docs = docs.withColumn("b", F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS)))
+    docs = docs.withColumn("b", F.pmod(F.shiftrightunsigned("h", 40), F.lit(buckets)))
     before = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offset = docs.groupBy("source", "b").agg(F.sum("tokens").alias("bt")).withColumn("offset", F.coalesce(F.sum("bt").over(before), F.lit(0))).drop("bt")
+    offset = docs.groupBy("source", "b").agg(F.sum("tokens").alias("bt")).withColumn("offset", F.coalesce(F.sum("bt").over(before), F.lit(0))).drop("bt").join(p, "source")
     inside = Window.partitionBy("source", "b").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(offset, ["source", "b"]).join(p, "source")
+    placed = docs.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(offset, ["source", "b"])
     passes = placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.ceil(F.col("given") / F.col("all")).cast("int"), F.col("max_repeats"))))))
     begin = (F.col("copy") - 1) * F.col("all") + F.col("offset") + F.col("within")
     taken = passes.withColumn("begin", begin).where(F.col("begin") < F.col("given"))
@@ -84,6 +99,13 @@ def mixture(tokens: DataFrame, targets: DataFrame, seed: int = 17, ramp: DataFra
     return taken.select("source", "doc_id", "copy", "tokens", schedule_inverse(u, F.col("ramp")).alias("position"))
 
 
+def found(tokens: DataFrame, targets: DataFrame, seed: int = 17, ramp: DataFrame | None = None) -> DataFrame:
+    """Sources whose tokens in the mixture end before their demand is met: they cannot reach their target share, however
+    the curriculum spreads them. A source that has no document in the mixture is one unless its demand is 0."""
+    met = mixture(tokens, targets, seed, ramp).groupBy("source").agg(F.sum("tokens").alias("mixed"))
+    return plan(tokens, targets).select("source", "demand").join(met, "source", "left").where(F.coalesce("mixed", F.lit(0)) < F.col("demand")).select("source")
+
+
 def in_training_order(mix: DataFrame) -> DataFrame:
     """The mixture range-partitioned and sorted by position (ties: source, document, copy)."""
     return mix.repartitionByRange("position", "source", "doc_id", "copy").sortWithinPartitions("position", "source", "doc_id", "copy")

@@ -84,7 +84,7 @@ def p8_counts(spark, d):
 
 
 def p9_found(spark, d):
-    return mixing.found(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.found(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark, d):

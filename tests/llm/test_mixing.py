@@ -15,8 +15,8 @@ def setup(spark):
 
 def test_short_sources(spark):
     docs, targets = setup(spark)
-    assert sorted(r["source"] for r in mx.found(docs, targets).collect()) == ["none", "tiny"]
-    assert mx.found(docs.where("false"), targets).count() == 0 and mx.found(docs, targets.where("false")).count() == 0
+    assert sorted(r["source"] for r in mx.found(mx.sized(docs), targets).collect()) == ["none", "tiny"]
+    assert mx.found(mx.sized(docs.where("false")), targets).count() == 0 and mx.found(mx.sized(docs), targets.where("false")).count() == 0
 
 
 def test_mixture_meets_demand_within_one_document(spark):
@@ -40,12 +40,23 @@ def test_mixture_meets_demand_within_one_document(spark):
     assert shares["none"]["mixed_tokens"] == 0 and shares["none"]["short"] and abs(shares["big"]["share_of_corpus_size"] - 0.5) < 0.01
 
 
-def test_weights_change_over_time(spark):
-    docs, targets = setup(spark)
-    rising = spark.createDataFrame([("big", 0.9)], "source string, ramp double")
-    pos = [r["position"] for r in mx.mixture(mx.sized(docs), targets, ramp=rising).where("source = 'big'").collect()]
-    late = sum(p > 0.5 for p in pos) / len(pos)
-    assert abs(late - (1 - (0.5 * 0.1 + 0.9 * 0.25))) < 0.03
+@pytest.mark.parametrize("slopes", [{}, {"big": 0.9}, {"big": -0.7, "small": 3.0, "tiny": 0.4}])
+def test_weights_of_every_tenth_of_training(spark, slopes):
+    docs = spark.createDataFrame([(i, s, "one two three four five") for s, k in (("big", 3000), ("small", 900), ("tiny", 300)) for i in range(k)], D)
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.3, 2), ("tiny", 0.2, 4)], T)
+    sized = mx.sized(docs)
+    ramp = spark.createDataFrame([(k, v) for k, v in slopes.items()], "source string, ramp double")
+    plan = {r["source"]: r for r in mx.schedules(mx.plan(sized, targets), ramp).collect()}
+    assert abs(sum(r["given"] * r["ramp"] for r in plan.values())) < 1e-6 and all(abs(r["ramp"]) <= 1 for r in plan.values())
+    rows = mx.mixture(sized, targets, ramp=ramp).collect()
+    whole = sum(r["tokens"] for r in rows)
+    for i in range(10):
+        lo, hi = i / 10, (i + 1) / 10
+        part = [r for r in rows if lo <= r["position"] < hi or (i == 9 and r["position"] == 1)]
+        assert abs(sum(r["tokens"] for r in part) - whole / 10) < 0.005 * whole  # position is progress in tokens
+        for s, p in plan.items():
+            want = p["given"] * sum(1 + p["ramp"] * (2 * (lo + (k + 0.5) / 1000) - 1) for k in range(100)) / 1000
+            assert abs(sum(r["tokens"] for r in part if r["source"] == s) - want) < 0.005 * whole, (s, i)
 
 
 @pytest.mark.parametrize("ramp", [-0.8, 0.0, 0.6])
