@@ -27,14 +27,14 @@ def runs_of(numbers):
     return [tuple(x) for x in out]
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(-9, 40), st.integers(0, 6)), max_size=12), st.lists(st.tuples(st.integers(-9, 40), st.integers(0, 6)), max_size=8))
 def test_union_and_difference_against_sets(spark, a, b):
     left = spark.createDataFrame([(x, x + n) for x, n in a], iv.INTERVALS)
     right = spark.createDataFrame([(x, x + n) for x, n in b], iv.INTERVALS)
     have = {y for x, n in a for y in range(x, x + n + 1)}
     gone = {y for x, n in b for y in range(x, x + n + 1)}
-    assert rows(iv.merge_intervals(left, block=8)) == runs_of(have)
+    assert rows(iv.merge_intervals(left)) == runs_of(have)
     assert rows(iv.subtract_intervals(left, right)) == runs_of(have - gone)
 
 
@@ -71,6 +71,8 @@ def test_changed_sources_cases(spark):
 
 def test_processed_scans_are_not_read_again(spark):
     scan = spark.createDataFrame([(1, "a", "h", None, T0), (2, "b", "h", None, T0)], SCAN)
+    log, runs = spark.createDataFrame([(1, "a", 1, "h", 1), (2, "b", 1, "h", 1)], LOG), spark.createDataFrame([(1, "ok"), (2, "failed")], RUNS)
+    assert rows(iv.done_scans(scan, iv.stored_versions(log, iv.committed_runs(runs)))) == [(1, 1)]
     done = spark.createDataFrame([(1, 1)], iv.INTERVALS)
     got = iv.changed_sources(scan, spark.createDataFrame([], LOG), spark.createDataFrame([], RUNS), done)
     assert [r["source"] for r in got.collect()] == ["b"]
@@ -86,3 +88,58 @@ def test_ledger_survives_failure_and_takes_late_rows(spark, tmp_path):
     ledger.run(df(1, 2, 3, 5, 6, 6), "seq", lambda d: d)
     assert rows(ledger.intervals()) == [(1, 3), (5, 6)]
     assert sorted(r["seq"] for r in ledger.output().collect()) == [1, 2, 3, 5, 6, 6]
+
+
+def test_numbers_far_apart_and_long_intervals(spark):
+    big = [(-(1 << 62), -(1 << 62) + 5), (0, 0), (1, 1 << 20), ((1 << 20) + 1, (1 << 20) + 1), (1 << 61, 1 << 61)]
+    df = spark.createDataFrame(big, iv.INTERVALS)
+    assert rows(iv.merge_intervals(df)) == [(-(1 << 62), -(1 << 62) + 5), (0, (1 << 20) + 1), (1 << 61, 1 << 61)]
+    got = rows(iv.subtract_intervals(df, spark.createDataFrame([(100, 200_000)], iv.INTERVALS)))
+    assert got == [(-(1 << 62), -(1 << 62) + 5), (0, 99), (200_001, (1 << 20) + 1), (1 << 61, 1 << 61)]
+
+
+def test_rows_that_arrive_during_a_run_stay_pending(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    spark.createDataFrame([(1,), (2,)], "seq long").write.parquet(feed)
+    source = spark.read.schema("seq long").parquet(feed)
+
+    def late(todo):
+        spark.createDataFrame([(3,)], "seq long").write.mode("append").parquet(feed)
+        spark.catalog.refreshByPath(feed)
+        return todo
+
+    ledger = iv.IntervalLedger(spark, str(tmp_path / "l"))
+    ledger.run(source, "seq", late)
+    assert rows(ledger.intervals()) == [(1, 2)] and sorted(r["seq"] for r in ledger.output().collect()) == [1, 2]
+    ledger.run(spark.read.parquet(feed), "seq", lambda d: d)
+    assert rows(ledger.intervals()) == [(1, 3)] and sorted(r["seq"] for r in ledger.output().collect()) == [1, 2, 3]
+
+
+def test_of_two_writers_none_is_lost(spark, tmp_path):
+    df = spark.createDataFrame([(1,), (2,), (3,)], "seq long")
+    first, second = iv.IntervalLedger(spark, str(tmp_path)), iv.IntervalLedger(spark, str(tmp_path))
+    worked = []
+
+    def slow(todo):
+        if not worked:
+            worked.append(1)
+            second.run(df.where("seq < 3"), "seq", lambda d: d)  # commits while the first one works
+        return todo
+
+    first.run(df, "seq", slow)
+    assert rows(first.intervals()) == [(1, 3)] and sorted(r["seq"] for r in first.output().collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("at", ["process", "commit"])
+def test_crash_at_each_step(spark, tmp_path, at):
+    ledger = iv.IntervalLedger(spark, str(tmp_path))
+    df = spark.createDataFrame([(1,), (4,)], "seq long")
+
+    def dies(todo):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        ledger.run(df, "seq", dies) if at == "process" else ledger.run(df, "seq", lambda d: d, fail_before_commit=True)
+    assert rows(ledger.intervals()) == [] and ledger.output() is None
+    ledger.run(df, "seq", lambda d: d)
+    assert sorted(r["seq"] for r in ledger.output().collect()) == [1, 4]
