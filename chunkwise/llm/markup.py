@@ -7,10 +7,14 @@ import json
 import re
 from html.entities import html5
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkwise.session import persist_table
+
 #: Element names of HTML and of the tags used in wiki text.
 TAGS = frozenset(
     """a abbr acronym address area article aside audio b base basefont bdi bdo bgsound big blink blockquote body br button canvas caption center
@@ -307,25 +311,46 @@ def clean(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", out).strip("\n")
 
 
-def collapse(shapes: list[str], widest: int = 6) -> list[tuple]:
-    """Tandem repeats of groups of up to ``widest`` tokens become one repeated group, narrow groups first."""
-    seq: list = [(s, False) for s in shapes]
-    for width in range(1, widest + 1):
+def collapse(shapes: list[str]) -> list[tuple]:
+    """Tandem repeats of groups of tokens, however wide, become one repeated group, narrow groups first.
+
+    Items are ``(item, repeated, optional)``; the item of a group is a tuple of items."""
+    seq: list = [(s, False, False) for s in shapes]
+    tried: set[int] = set()
+    while True:
+        code: dict = {}
+        ids = np.array([code.setdefault(x, len(code)) for x in seq], np.int64)
+        last: dict[int, int] = {}
+        widths = set()
+        for i, x in enumerate(ids.tolist()):
+            if x in last:
+                widths.add(i - last[x])
+            last[x] = i
+        found = 0
+        for width in sorted(w for w in widths - tried if 2 * w <= len(ids)):
+            same = np.flatnonzero(np.diff(np.concatenate(([0], (ids[:-width] == ids[width:]).view(np.int8), [0]))))
+            if (same[1::2] - same[::2] >= width).any():
+                found = width
+                break
+            tried.add(width)
+        if not found:
+            return seq
+        tried = {w for w in tried if w < found}
         out: list = []
         i = 0
         while i < len(seq):
-            group = seq[i : i + width]
-            j = i + width
-            while len(group) == width and seq[j : j + width] == group:
-                j += width
-            if j > i + width:
-                out.append((tuple(group), True) if width > 1 else (group[0][0], True))
+            group = seq[i : i + found]
+            j = i + found
+            while len(group) == found and seq[j : j + found] == group:
+                j += found
+            if j > i + found:
+                out.append((tuple(group), True, False) if found > 1 else (group[0][0], True, group[0][2]))
                 i = j
             else:
                 out.append(seq[i])
                 i += 1
         seq = out
-    return seq
+        tried.add(found)
 
 
 #: Bits of the table that one alignment holds at most; larger ones are halved until their parts fit.
@@ -386,35 +411,82 @@ def matches(a: list, b: list, bits: int = TABLE_BITS) -> list[tuple[int, int]]:
     return out
 
 
+def one(items: list[tuple], rep: bool, opt: bool) -> tuple:
+    """Several items as one group, a single one as itself."""
+    if len(items) == 1:
+        x, r, o = items[0]
+        return (x, r or rep, o or opt)
+    return (tuple(items), rep, opt)
+
+
+def resolve(out: list[tuple], span: list[tuple]) -> None:
+    """Put a mismatched ``span`` behind ``out``: if it repeats what stands there, that becomes a repeated group, else the
+    span becomes an optional one."""
+    if not span:
+        return
+    n = len(span)
+    tail = out[-n:]
+    if [t[0] for t in tail] == [x[0] for x in span]:
+        out[-n:] = [one([(t[0], t[1] or x[1], t[2] or x[2]) for t, x in zip(tail, span)], True, False)]
+    elif n == 1 and out and out[-1][1] and out[-1][0] == span[0][0]:
+        out[-1] = (out[-1][0], True, out[-1][2] or span[0][2])
+    elif all(x[2] for x in span):
+        out += span
+    else:
+        out.append(one(span, False, True))
+
+
 def align(wrapper: list[tuple], sample: list[tuple]) -> list[tuple]:
-    """Union-free wrapper of two token expressions: matching items stay, others become optional.
+    """Union-free wrapper of two token expressions: matching items stay, mismatches become repeated or optional groups.
 
-    Items are ``(item, repeated, optional)``. The longest common subsequence of the items decides what matches;
-    repetition on either side is kept. What either expression matches, the result matches.
+    The longest common subsequence of the items decides what matches; repetition on either side is kept. Text is one
+    kind of token whatever it says, so mismatched texts are slots from the outset. What either expression matches, the
+    result matches.
     """
-    a = [(w if len(w) == 3 else (*w, False)) for w in wrapper]
-    b = [(s if len(s) == 3 else (*s, False)) for s in sample]
-    n, m = len(a), len(b)
     out: list[tuple] = []
     i = j = 0
-    for x, y in [*matches([w[0] for w in a], [s[0] for s in b]), (n, m)]:
-        out += [(w[0], w[1], True) for w in a[i:x]] + [(s[0], s[1], True) for s in b[j:y]]
-        if x < n:
-            out.append((a[x][0], a[x][1] or b[y][1], a[x][2] or b[y][2]))
+    for x, y in [*matches([w[0] for w in wrapper], [s[0] for s in sample]), (len(wrapper), len(sample))]:
+        resolve(out, wrapper[i:x])
+        resolve(out, sample[j:y])
+        if x < len(wrapper):
+            out.append((wrapper[x][0], wrapper[x][1] or sample[y][1], wrapper[x][2] or sample[y][2]))
         i, j = x + 1, y + 1
-    return out
+    return general(out)
+
+
+def leaves(x) -> list[str]:
+    return [leaf for y in x for leaf in leaves(y[0])] if isinstance(x, tuple) else [x]
+
+
+def general(wrapper: list[tuple]) -> list[tuple]:
+    """A wrapper that has come to hold the same tokens over and over, more than twice as many as there are kinds of them,
+    gives up their order: the stretch between the first and the last that recurs becomes one repeated group of optional
+    tokens. So wrappers stay about as long as the vocabulary of a host, however many streams they match."""
+    each = [leaves(w[0]) for w in wrapper]
+    count: dict[str, int] = {}
+    for few in each:
+        for x in few:
+            count[x] = count.get(x, 0) + 1
+    if sum(map(len, each)) <= 2 * len(count) + 8:
+        return wrapper
+    at = [i for i, few in enumerate(each) if any(count[x] > 1 for x in few)]
+    lo, hi = at[0], at[-1] + 1
+    kinds = list(dict.fromkeys(x for few in each[lo:hi] for x in few))
+    return [*wrapper[:lo], (tuple((x, False, True) for x in kinds), True, True), *wrapper[hi:]]
 
 
 def expression(wrapper: list[tuple]) -> str:
-    def item(x) -> str:
-        return "(" + " ".join(item(y[0]) + ("+" if y[1] else "") for y in x) + ")" if isinstance(x, tuple) else x
+    """The wrapper as written: ``?`` optional, ``+`` repeated, ``*`` both; kinds of markup are left out."""
+    def item(w) -> str:
+        x, rep, opt = w
+        return ("(" + " ".join(map(item, x)) + ")" if isinstance(x, tuple) else x.split(":", 1)[1] if x.split(":", 1)[0] in KINDS else x) + ("*" if rep and opt else "+" if rep else "?" if opt else "")
 
-    return " ".join(item(x) + ("*" if rep and opt else "+" if rep else "?" if opt else "") for x, rep, opt in ((w if len(w) == 3 else (*w, False)) for w in wrapper))
+    return " ".join(map(item, wrapper))
 
 
 def infer(streams: list[list[str]]) -> list[tuple]:
     """Wrapper of several token streams by aligning one after the other, shortest first."""
-    return fold([[(*x, False) for x in collapse(s)] for s in streams])
+    return fold([collapse(s) for s in streams])
 
 
 def fold(wrappers: list[list[tuple]]) -> list[tuple]:
@@ -424,10 +496,63 @@ def fold(wrappers: list[list[tuple]]) -> list[tuple]:
         return []
     wrapper = ordered[0]
     for s in ordered[1:]:
-        wrapper = align(wrapper, s)
+        if s != wrapper:
+            wrapper = align(wrapper, s)
     return wrapper
 
 
+class Reader:
+    """Reads token streams through a wrapper, as an automaton over the places of its tokens kept in the bits of numbers."""
+
+    def __init__(self, wrapper: list[tuple]):
+        self.follow: list[int] = []
+        self.places: dict[str, int] = {}
+        self.empty, self.first, self.last = self._sequence(wrapper)
+
+    def _sequence(self, items) -> tuple[bool, int, int]:
+        empty, first, last = True, 0, 0
+        for x, rep, opt in items:
+            if isinstance(x, tuple):
+                e, f, z = self._sequence(x)
+            else:
+                e, f = False, 1 << len(self.follow)
+                z = f
+                self.places[x] = self.places.get(x, 0) | f
+                self.follow.append(0)
+            if rep:
+                self._link(z, f)
+            self._link(last, f)
+            first |= f if empty else 0
+            last = z | (last if e or opt else 0)
+            empty = empty and (e or opt)
+        return empty, first, last
+
+    def _link(self, ends: int, begins: int) -> None:
+        while ends:
+            low = ends & -ends
+            self.follow[low.bit_length() - 1] |= begins
+            ends ^= low
+
+    def markup(self, stream: list[str]) -> list[int] | None:
+        """Places in the stream that items of markup match: all others fill text slots or are kept. None if the wrapper
+        does not match the stream."""
+        state = -1
+        out = []
+        for i, x in enumerate(stream):
+            may = self.first if state < 0 else 0
+            s = max(state, 0)
+            while s:
+                low = s & -s
+                may |= self.follow[low.bit_length() - 1]
+                s ^= low
+            state = may & self.places.get(x, 0)
+            if not state:
+                return None
+            if x.split(":", 1)[0] in KINDS:
+                out.append(i)
+        return out if (self.empty if state < 0 else state & self.last) else None
+
+
 def frozen(x):
     """Lists from JSON as tuples."""
     return tuple(map(frozen, x)) if isinstance(x, list) else x
@@ -442,73 +567,144 @@ def host(source):
 HINT = r"(?m)[<&\[{'=\\`*_~]|--|^\|[-}+]"
 
 
-def examined(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, host, kinds, shapes, text, title)`` of the chunks that may hold markup, from their token streams."""
-    src = chunks.where(F.col("content").rlike(HINT) | F.col("heading_title").rlike(HINT)).select("chunk_id", host(F.col("source")).alias("host"), "content", "heading_title")
+#: Languages whose constructs are markup.
+KINDS = frozenset(("html", "wiki", "latex", "markdown"))
+#: Parts into which the rows of one stream of a host are cut where they meet its reading; streams a task reads at once.
+SALT, READ_ROWS = 16, 10_000
 
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for cid, h, content, title in pdf.itertuples(index=False):
-                toks = stream(content) if content else []
-                head = stream(title) if title else []
-                kinds = sorted({t.kind for t in (*toks, *head)} - {"text", "keep"})
-                if kinds:
-                    rows.append((cid, h, kinds, [t.shape for t in toks], clean(content) if content else content, clean(title) if title else title))
-            yield pd.DataFrame(rows, columns=["chunk_id", "host", "kinds", "shapes", "text", "title"])
 
-    return src.mapInPandas(run, "chunk_id string, host string, kinds array<string>, shapes array<string>, text string, title string")
+def items(toks: list[Token]) -> list[str]:
+    """The stream as compared: markup by language and construct, text and what is kept by kind."""
+    return [f"{t.kind}:{t.shape}" if t.kind in KINDS else t.shape for t in toks]
 
 
-def residue(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, kinds)`` of every chunk whose content or heading title holds markup, once per ``chunk_id``.
+def examined(chunks: DataFrame, pieces: bool = False) -> DataFrame:
+    """``(chunk_id, field, host, sid, stream)`` of content (field 0) and heading title (1) of the chunks that may hold
+    markup, as a table in the shared folder; a null field has no row.
 
-    The token stream of a chunk is aligned to the store's own form, in which only text, fences, inline code and formulas
-    occur; whatever is left over is residue. Fences, code and formulas are never looked into. Null and empty texts hold
-    none; rows repeated with the same id give one row; a null id gives none.
+    ``sid`` names the token stream; the stream itself stands only at its first row in a task. With ``pieces`` there are
+    also ``raw`` and ``out``, what each token of markup is and becomes (``raw`` is null where both are the same).
     """
-    src = chunks.where(F.col("content").rlike(HINT) | F.col("heading_title").rlike(HINT)).where("chunk_id IS NOT NULL").select("chunk_id", "content", "heading_title")
+    may = F.col("content").rlike(HINT) | F.col("heading_title").rlike(HINT)
+    src = chunks.where(may & F.col("chunk_id").isNotNull()).select("chunk_id", host(F.col("source")).alias("host"), "content", "heading_title")
+    names = ["chunk_id", "field", "host", "sid", "stream", *(("raw", "out") if pieces else ())]
 
     def run(frames):
+        seen: set = set()
         for pdf in frames:
             rows = []
-            for cid, content, title in pdf.itertuples(index=False):
-                kinds = sorted({t.kind for x in (content, title) if x for t in stream(x)} - {"text", "keep"})
-                if kinds:
-                    rows.append((cid, kinds))
-            yield pd.DataFrame(rows, columns=["chunk_id", "kinds"])
+            if len(seen) > 200_000:
+                seen.clear()
+            for cid, h, *texts in pdf.itertuples(index=False):
+                for field, text in enumerate(texts):
+                    if text is None:
+                        continue
+                    toks = stream(text)
+                    shapes = items(toks)
+                    sid = xxhash.xxh3_64_intdigest("\n".join(shapes)) - (1 << 63)
+                    row = (cid, field, h, sid, None if (h, sid) in seen else shapes)
+                    seen.add((h, sid))
+                    rows.append((*row, [text[t.start : t.end] if t.kind in KINDS else None for t in toks], [t.out for t in toks]) if pieces else row)
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = "chunk_id string, field int, host string, sid bigint, stream array<string>" + (", raw array<string>, out array<string>" if pieces else "")
+    return persist_table(src.mapInPandas(run, schema), "markup-streams")
+
+
+def readings(table: DataFrame) -> DataFrame:
+    """``(host, sid, markup)``: every distinct stream of the table read through the wrapper of its host; ``markup`` lists
+    the places its items of markup match. A host's streams meet its wrapper in parts of about ``READ_ROWS``."""
+    streams = table.where("stream IS NOT NULL").groupBy("host", "sid").agg(F.first("stream").alias("stream"))
+    made = persist_table(folded(streams.withColumn("chunks", F.lit(1).cast("bigint"))), "markup-wrappers")
+    parts = F.ceil(F.col("streams") / READ_ROWS).cast("int")
+    sent = made.select("host", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "wrapper")
+    cut = made.select(F.col("host").alias("h"), parts.alias("parts"))
+    asked = streams.join(cut, F.col("host") == F.col("h")).select("host", F.pmod("sid", F.col("parts")).cast("int").alias("part"), "sid", "stream")
+
+    def run(key, rows, wrapper):
+        out = []
+        if len(rows):
+            reader = Reader([frozen(x) for x in json.loads(wrapper["wrapper"].iloc[0])])
+            for sid, x in zip(rows["sid"], rows["stream"]):
+                got = reader.markup(list(x))
+                if got is None:
+                    raise ValueError(f"the wrapper of {key[0]} does not match one of its streams")
+                out.append((key[0], sid, got))
+        return pd.DataFrame(out, columns=["host", "sid", "markup"])
+
+    return asked.groupBy("host", "part").cogroup(sent.groupBy("host", "part")).applyInPandas(run, "host string, sid bigint, markup array<int>")
+
+
+def with_markup(table: DataFrame) -> DataFrame:
+    """Rows of the table with the ``markup`` their host's wrapper finds in them; rows without any are left out. A stream
+    that very many rows share is cut into ``SALT`` parts for the join."""
+    read = readings(table).where(F.size("markup") > 0).select(F.col("host").alias("h"), F.col("sid").alias("s"), "markup", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("z"))
+    rows = table.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALT)).cast("int"))
+    return rows.join(read, (F.col("host") == F.col("h")) & (F.col("sid") == F.col("s")) & (F.col("salt") == F.col("z"))).drop("h", "s", "z", "salt")
+
 
-    return src.mapInPandas(run, "chunk_id string, kinds array<string>").dropDuplicates(["chunk_id"])
+def residue(chunks: DataFrame) -> DataFrame:
+    """``chunk_id`` of every chunk whose content or heading title holds markup, once per ``chunk_id``.
+
+    The token streams of a host are aligned to a wrapper, and each is read through it: what items of markup match is
+    residue; the rest fills text slots or is the store's own form (fences, inline code, formulas), which is never looked
+    into. Null and empty texts hold none; rows repeated with the same id give one row; a null id gives none.
+    """
+    return with_markup(examined(chunks)).select("chunk_id").distinct()
 
 
 def cleaned(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, text, title)`` for every distinct chunk with markup: headings, lists, code and formulas are kept."""
-    return examined(chunks).where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"]).select("chunk_id", "text", "title")
+    """``(chunk_id, text, title)`` for every distinct chunk with markup: headings, lists, code and formulas are kept.
+
+    Of each text the tokens that the wrapper of its host names markup are replaced by what stands for them; texts
+    without any stay as they are. Rows repeated with the same id give one row.
+    """
+    table = examined(chunks, True)
+    found = with_markup(table.select("chunk_id", "field", "host", "sid", "stream")).select(F.col("chunk_id").alias("c"), F.col("field").alias("f"), "markup").groupBy("c", "f").agg(F.max("markup").alias("markup"))
+    rows = table.join(found.select(F.col("c").alias("chunk_id")).distinct(), "chunk_id", "left_semi").join(found, (F.col("chunk_id") == F.col("c")) & (F.col("field") == F.col("f")), "left")
+    joined = F.array_join(F.transform("out", lambda o, i: F.when(F.array_contains("markup", i), o).otherwise(F.coalesce(F.get("raw", i), o))), "")
+    tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"), r"^\n+|\n+\z", "")
+    rows = rows.select("chunk_id", "field", F.when(F.col("markup").isNull(), F.array_join(F.transform("out", lambda o, i: F.coalesce(F.get("raw", i), o)), "")).otherwise(tidy).alias("text"))
+    return rows.groupBy("chunk_id").agg(F.max(F.when(F.col("field") == 0, F.col("text"))).alias("text"), F.max(F.when(F.col("field") == 1, F.col("text"))).alias("title"))
 
 
 #: Hash buckets of a host in the rounds of a fold; the last has one.
 ROUNDS = (1 << 18, 1 << 12, 1 << 6, 1)
 
 
-def wrappers(chunks: DataFrame) -> DataFrame:
-    """``(host, wrapper, streams, chunks)``: a union-free regular expression over the token streams of each host.
+def folded(streams: DataFrame) -> DataFrame:
+    """``(host, wrapper, streams, chunks)`` of ``(host, sid, stream, chunks)``: the wrapper of each host as JSON.
 
-    Text is a slot ``T``; mismatches became optional (``?``) or repeated (``+``, ``*``) items. All distinct streams of a
-    host, in full length, are folded: first those of a hash bucket, then in rounds the wrappers of 64 buckets each, so
-    that a task sees few of them at once and the result matches every stream. Null sources share the empty host.
+    All distinct streams of a host, in full length, are folded: first those of a hash bucket, then in rounds the wrappers
+    of 64 buckets each, so that a task sees few of them at once and the result matches every stream.
     """
-    got = examined(chunks).groupBy("host", "shapes").agg(F.count(F.lit(1)).alias("chunks"))
-    got = got.select("host", F.pmod(F.xxhash64("shapes"), F.lit(ROUNDS[0])).alias("bucket"), F.to_json("shapes").alias("wrapper"), F.lit(1).cast("bigint").alias("streams"), "chunks")
+    got = streams.select("host", F.pmod("sid", F.lit(ROUNDS[0])).alias("bucket"), F.to_json("stream").alias("wrapper"), F.lit(1).cast("bigint").alias("streams"), "chunks")
     for r, buckets in enumerate(ROUNDS):
 
-        def run(frames, first=r == 0, last=buckets == 1):
+        def run(frames, first=r == 0):
             for pdf in frames:
                 made = []
                 for few in pdf["wrappers"]:
                     w = infer([json.loads(x) for x in few]) if first else fold([[frozen(y) for y in json.loads(x)] for x in few])
-                    made.append(expression(w) if last else json.dumps(w))
+                    made.append(json.dumps(w))
                 yield pdf.drop(columns="wrappers").assign(wrapper=made)[["host", "bucket", "wrapper", "streams", "chunks"]]
 
         got = got.withColumn("bucket", F.col("bucket") % buckets).groupBy("host", "bucket").agg(F.collect_list("wrapper").alias("wrappers"), F.sum("streams").alias("streams"), F.sum("chunks").alias("chunks"))
         got = got.mapInPandas(run, "host string, bucket bigint, wrapper string, streams bigint, chunks bigint")
     return got.select("host", "wrapper", "streams", "chunks")
+
+
+def wrappers(chunks: DataFrame) -> DataFrame:
+    """``(host, wrapper, streams, chunks)``: a union-free regular expression over the token streams of each host.
+
+    Text is a slot ``T``; mismatches became optional (``?``) or repeated (``+``, ``*``) tokens and groups. Streams without
+    markup take part too. Null sources share the empty host; ``chunks`` counts texts, contents and titles.
+    """
+    table = examined(chunks)
+    size = table.groupBy("host", "sid").agg(F.max("stream").alias("stream"), F.count(F.lit(1)).alias("chunks"))
+
+    @F.pandas_udf("string")
+    def shown(w: pd.Series) -> pd.Series:
+        return w.map(lambda x: expression([frozen(y) for y in json.loads(x)]))
+
+    return folded(size).withColumn("wrapper", shown("wrapper"))

@@ -56,9 +56,10 @@ def test_rows(spark):
 def pattern(wrapper, letters):
     """The wrapper as a regular expression over one letter for each shape."""
     def item(x):
-        return "(?:" + "".join(item(y[0]) + ("+" if y[1] else "") for y in x) + ")" if isinstance(x, tuple) else letters[x]
+        y, rep, opt = x
+        return ("(?:" + "".join(map(item, y)) + ")" if isinstance(y, tuple) else letters[y]) + ("*" if rep and opt else "+" if rep else "?" if opt else "")
 
-    return re.compile("".join(item(x) + ("*" if rep and opt else "+" if rep else "?" if opt else "") for x, rep, opt in wrapper))
+    return re.compile("".join(map(item, wrapper)))
 
 
 def test_wrapper_matches_every_stream_in_full_length():
