@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkwise.session import persist_table
@@ -21,13 +21,12 @@ PER_LONG = 64 // BITS
 class Params:
     """Shingle width, similarity, ``bands`` x ``rows`` minima, and the sizes from which hot groups take another way.
 
-    ``accept`` is the least *estimated* similarity. The estimate from 256 four-bit minima has a standard deviation of
-    about 0.033 near one half, so for data without pairs close to the threshold it stands midway in the empty zone.
+    The estimate from 256 four-bit minima has a standard deviation of about 0.033 near one half. Pairs whose estimate
+    lies within ``doubt`` (four deviations) of ``least`` are decided by their shingles, so the threshold is exact.
     """
 
-    def __init__(self, width: int = 5, accept: float = 0.8, bands: int = 64, rows: int = 4, bucket: int = 64, copies: int = 32, least: float | None = None):
-        self.width, self.accept, self.bands, self.rows, self.bucket, self.copies = width, accept, bands, rows, bucket, copies
-        self.least = accept if least is None else least
+    def __init__(self, width: int = 5, least: float = 0.8, bands: int = 64, rows: int = 4, bucket: int = 64, copies: int = 32, doubt: float = 0.135):
+        self.width, self.least, self.bands, self.rows, self.bucket, self.copies, self.doubt = width, least, bands, rows, bucket, copies, doubt
         self.minima = bands * rows
 
 
@@ -92,11 +91,11 @@ def sign(frames: Iterator[pd.DataFrame], p: Params) -> Iterator[pd.DataFrame]:
             bits = ((low * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.uint64)
             sigs.append((bits.reshape(-1, PER_LONG) * weights).sum(1, dtype=np.uint64).view(np.int64))
             rows = low.reshape(p.bands, p.rows).astype(np.uint64)
-            key = rows[:, 0].copy()
-            for i in range(1, p.rows):
+            key = np.arange(1, p.bands + 1, dtype=np.uint64)
+            for i in range(p.rows):
                 key = key * np.uint64(0x9E3779B97F4A7C15) + rows[:, i]
-            key ^= key >> np.uint64(31)
-            keys.append(((key * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                key ^= key >> np.uint64(31)
+            keys.append((key * np.uint64(0x94D049BB133111EB)).view(np.int64))
         yield pd.DataFrame({"chunk_id": ids, "fp": np.array(fps, np.int64), "sig": sigs, "bands": keys})
 
 
@@ -123,44 +122,52 @@ def signatures(chunks: DataFrame, p: Params) -> DataFrame:
     combined before any shuffle.
     """
     src = chunks.select("chunk_id", "content").where("content IS NOT NULL AND chunk_id IS NOT NULL")
-    schema = "chunk_id string, fp bigint, sig array<bigint>, bands array<int>"
+    schema = "chunk_id string, fp bigint, sig array<bigint>, bands array<bigint>"
     return persist_table(src.mapInPandas(lambda it: sign(it, p), schema), "near-dup-signatures")
 
 
+#: One set in so many is looked at to find crowded buckets, and how many of these make one; most keys that are broadcast.
+SAMPLED, CROWD, MOST_KEYS = 128, 16, 100_000
+
+
 def class_pairs(chunks: DataFrame, sigs: DataFrame, p: Params) -> DataFrame:
-    """Pairs ``(fa, fb, similarity)`` of different shingle sets whose estimated similarity reaches ``p.accept``.
+    """Pairs ``(fa, fb)`` of different shingle sets whose similarity reaches ``p.least``.
 
-    One shuffle of ``(band key, set)`` rows finds the buckets; sets are made distinct in it, so exact copies, however many,
-    are one member. Buckets of up to ``p.bucket`` sets give their pairs directly. Members of larger buckets go to
-    :func:`prefix_join`, which is exact and never pairs a whole bucket.
+    One shuffle of ``(band key, set)`` rows finds the buckets; keys have 64 bits, so that strangers do not meet however
+    many sets there are. Sets are made distinct in it, so exact copies, however many, are one member. Buckets of up to
+    ``p.bucket`` sets give their pairs directly. Members of larger buckets go to :func:`prefix_join`, which is exact and
+    never pairs a whole bucket; buckets that a hash sample shows to be crowded go there without being gathered at all.
+    Candidates are judged by the corrected estimate, those in doubt by their shingles.
     """
-    from pyspark.sql import Window
-
-    rows = sigs.where("bands IS NOT NULL").select("fp", F.posexplode("bands").alias("band", "key"))
-    rows = rows.select("fp", (F.shiftleft(F.col("band").cast("bigint"), 32) + F.col("key").cast("bigint") + F.lit(1 << 31)).alias("key"))
+    rows = sigs.where("bands IS NOT NULL").select("fp", F.explode("bands").alias("key"))
+    crowded = persist_table(rows.where(F.pmod("fp", F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CROWD).select("key"), "near-dup-crowded")
+    many = crowded.count()
+    hot = None
+    if many:
+        few = F.broadcast(crowded) if many <= MOST_KEYS else crowded
+        hot = rows.join(few, "key", "left_semi").select("fp").distinct()
+        rows = rows.join(few, "key", "left_anti")
     rows = rows.repartition("key").dropDuplicates(["key", "fp"])  # copies of a set from several tasks; no second shuffle
     shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     shared = persist_table(shared, "near-dup-buckets")
     small = shared.where(F.col("n") <= p.bucket).groupBy("key").agg(F.array_sort(F.collect_set("fp")).alias("m"))
     inner = F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda i: F.transform(F.slice("m", 1, i), lambda x: F.struct(x.alias("fa"), F.element_at("m", (i + 1).cast("int")).alias("fb"))))
     pairs = small.where(F.size("m") > 1).select(F.explode(F.flatten(inner)).alias("p")).select("p.fa", "p.fb").distinct()
-    hot = shared.where(F.col("n") > p.bucket).select("fp").distinct()
+    full = shared.where(F.col("n") > p.bucket).select("fp").distinct()
+    hot = full if hot is None else hot.unionByName(full).distinct()
     if not hot.isEmpty():
         pairs = pairs.unionByName(prefix_join(chunks, sigs, hot, p)).distinct()
     sig = sigs.where("sig IS NOT NULL").select("fp", "sig").dropDuplicates(["fp"])
     left, right = sig.select(F.col("fp").alias("fa"), F.col("sig").alias("sa")), sig.select(F.col("fp").alias("fb"), F.col("sig").alias("sb"))
-    scored = pairs.join(left, "fa").join(right, "fb").withColumn("similarity", estimate("sa", "sb", p))
-    return scored.where(F.col("similarity") >= p.accept).select("fa", "fb", "similarity")
+    scored = pairs.join(left, "fa").join(right, "fb").withColumn("estimate", estimate("sa", "sb", p)).where(F.col("estimate") >= p.least - p.doubt)
+    scored = persist_table(scored.select("fa", "fb", "estimate"), "near-dup-scored")
+    sure = scored.where(F.col("estimate") > p.least + p.doubt).select("fa", "fb")
+    return sure.unionByName(verified(chunks, sigs, scored.where(F.col("estimate") <= p.least + p.doubt).select("fa", "fb"), p))
 
 
-def prefix_join(chunks: DataFrame, sigs: DataFrame, hot: DataFrame, p: Params) -> DataFrame:
-    """Candidates among the sets of over-full buckets: two sets of similarity ``p.least`` share one of their rarest shingles.
-
-    Shingles are ordered by how many hot sets hold them; of a set of size s the first ``s - ceil(p.least * s) + 1`` form
-    its prefix, and sets that reach the similarity must share a prefix shingle (prefix filtering), with sizes at most
-    ``1 / p.least`` apart. It finds all of them, with no cap on partners.
-    """
-    rep = sigs.select("fp", "chunk_id").join(hot, "fp").groupBy("fp").agg(F.min("chunk_id").alias("chunk_id"))
+def shingle_sets(chunks: DataFrame, sigs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
+    """``(fp, sh)``: the shingles of the ``wanted`` sets, from the text of the first chunk that has them."""
+    rep = sigs.select("fp", "chunk_id").join(wanted, "fp").groupBy("fp").agg(F.min("chunk_id").alias("chunk_id"))
     texts = chunks.select("chunk_id", "content").where("content IS NOT NULL").join(rep, "chunk_id").groupBy("fp").agg(F.min("content").alias("content"))
 
     def tokens(frames):
@@ -168,16 +175,37 @@ def prefix_join(chunks: DataFrame, sigs: DataFrame, hot: DataFrame, p: Params) -
         for pdf in frames:
             yield pd.DataFrame({"fp": pdf["fp"], "sh": [shingles(t, p.width, known).view(np.int64) for t in pdf["content"]]})
 
-    sh = texts.mapInPandas(tokens, "fp bigint, sh array<bigint>").select("fp", F.size("sh").alias("s"), F.explode("sh").alias("g"))
-    sh = persist_table(sh, "near-dup-prefix")
-    from pyspark.sql import Window
+    return texts.mapInPandas(tokens, "fp bigint, sh array<bigint>")
+
+
+def verified(chunks: DataFrame, sigs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
+    """Of ``pairs`` of sets those that really share ``p.least`` of all their shingles."""
+    sets = persist_table(shingle_sets(chunks, sigs, pairs.select(F.explode(F.array("fa", "fb")).alias("fp")).distinct(), p), "near-dup-sets")
+    a, b = sets.select(F.col("fp").alias("fa"), F.col("sh").alias("x")), sets.select(F.col("fp").alias("fb"), F.col("sh").alias("y"))
+    both = pairs.join(a, "fa").join(b, "fb").select("fa", "fb", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"))
+    return both.where(F.col("c") >= p.least * (F.col("n") - F.col("c")) - 1e-9).select("fa", "fb")
 
+
+#: Most members of one shingle that meet all others of it in one task.
+MEMBERS = 2048
+
+
+def prefix_join(chunks: DataFrame, sigs: DataFrame, hot: DataFrame, p: Params) -> DataFrame:
+    """Candidates among the sets of over-full buckets: two sets of similarity ``p.least`` share one of their rarest shingles.
+
+    Shingles are ordered by how many hot sets hold them; of a set of size s the first ``s - ceil(p.least * s) + 1`` form
+    its prefix, and sets that reach the similarity must share a prefix shingle (prefix filtering), with sizes at most
+    ``1 / p.least`` apart. It finds all of them, with no cap on partners; the members of a frequent shingle are cut into
+    blocks, so that it is not the work of one task.
+    """
+    sh = persist_table(shingle_sets(chunks, sigs, hot, p).select("fp", F.size("sh").alias("s"), F.explode("sh").alias("g")), "near-dup-prefix")
     df = sh.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     ranked = sh.join(df, "g", "left").withColumn("i", F.row_number().over(Window.partitionBy("fp").orderBy(F.coalesce("df", F.lit(1)), "g")))
-    prefix = ranked.where((F.col("i") <= F.col("s") - F.ceil(F.col("s") * p.least) + 1) & F.col("df").isNotNull()).select("g", "fp", "s")
-    a, b = prefix.select("g", F.col("fp").alias("fa"), F.col("s").alias("na")), prefix.select("g", F.col("fp").alias("fb"), F.col("s").alias("nb"))
+    prefix = ranked.where((F.col("i") <= F.col("s") - F.ceil(F.col("s") * p.least) + 1) & F.col("df").isNotNull()).withColumn("parts", F.ceil(F.col("df") / MEMBERS).cast("int"))
+    a = prefix.select("g", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), F.col("fp").alias("fa"), F.col("s").alias("na"))
+    b = prefix.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("fp").alias("fb"), F.col("s").alias("nb"))
     near = (F.col("fa") < F.col("fb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * p.least)
-    return a.join(b, "g").where(near).select("fa", "fb").distinct()
+    return a.join(b, ["g", "part"]).where(near).select("fa", "fb").distinct()
 
 
 def near_duplicate_pairs(chunks: DataFrame, p: Params) -> DataFrame:
@@ -191,7 +219,7 @@ def near_duplicate_pairs(chunks: DataFrame, p: Params) -> DataFrame:
     ``chunk_id`` count once; an empty table gives no pair.
     """
     sigs = signatures(chunks, p)
-    links = class_pairs(chunks, sigs, p).select("fa", "fb")
+    links = class_pairs(chunks, sigs, p)
     members = sigs.select("fp", "chunk_id").distinct()
     sizes = members.groupBy("fp").agg(F.count("*").alias("c"), F.min("chunk_id").alias("rep"))
     known = members.join(sizes.where("c > 1"), "fp", "left")

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from chunkwise.llm import borda, code_docs, encode, garbled, markup, mixing, near_dup, neighbours, splitting
 from chunkwise.session import table
 
-#: Near-duplicate chunks: runs of three words, half of them shared; no pair is close to the half, so the estimate is cut
-#: in the middle of the empty zone below it.
-PASSAGES = near_dup.Params(width=3, accept=0.4, least=0.5)
+#: Near-duplicate chunks: runs of three words, half of them shared.
+PASSAGES = near_dup.Params(width=3, least=0.5)
 
 
 def p1_found(spark, d):

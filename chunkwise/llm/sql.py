@@ -16,6 +16,18 @@ SELECT x AS chunk_id_a, y AS chunk_id_b FROM p JOIN n nx ON nx.chunk_id = x JOIN
 WHERE p.c * 2 >= nx.c + ny.c - p.c""",
 }
 
+SQL["p1_groups"] = P1_PAIRS.replace("WITH t AS", "WITH RECURSIVE t AS") + """,
+near AS (
+    SELECT x, y, p.c = nx.c AND p.c = ny.c AS same FROM p JOIN n nx ON nx.chunk_id = x JOIN n ny ON ny.chunk_id = y
+    WHERE p.c * 2 >= nx.c + ny.c - p.c
+), edges AS (SELECT x, y, same FROM near UNION ALL SELECT y, x, same FROM near),
+reach(chunk_id, other) AS (
+    SELECT chunk_id, chunk_id FROM chunks WHERE chunk_id IS NOT NULL
+    UNION SELECT reach.chunk_id, edges.y FROM reach JOIN edges ON edges.x = reach.other
+)
+SELECT chunk_id, least(chunk_id, (SELECT min(y) FROM edges WHERE edges.x = r.chunk_id AND same)) AS class_id, min(other) AS group_id
+FROM reach r GROUP BY chunk_id"""
+
 BORDA = """
 WITH one AS (
     SELECT query_id, chunk_id, search_mode, max(CASE WHEN isnan(score) THEN NULL ELSE score END) AS score

@@ -3,10 +3,11 @@ import re
 
 import numpy as np
 from conftest import clash
+from pyspark.sql import functions as F
 
 from chunkwise.llm import near_dup as nd
 
-P = nd.Params(width=3, accept=0.4, least=0.5)
+P = nd.Params(width=3, least=0.5)
 WORDS = [f"w{i}" for i in range(400)]
 SCHEMA = "chunk_id string, content string"
 
@@ -69,20 +70,36 @@ def test_over_full_buckets_take_the_exact_way(spark):
         t[rnd.randrange(60)] = f"new{i}"
         t[rnd.randrange(60)] = f"other{i}"
         rows.append((f"h{i:02d}", " ".join(t)))
-    assert found(spark, rows, nd.Params(width=3, accept=0.4, least=0.5, bucket=4)) == truth(rows)
+    assert found(spark, rows, nd.Params(width=3, least=0.5, bucket=4)) == truth(rows)
 
 
 def test_estimate_follows_the_similarity(spark):
     rows = corpus(9, 12)
-    df = spark.createDataFrame(rows, SCHEMA)
-    sigs = nd.signatures(df, P)
-    links = {(r["fa"], r["fb"]): r["similarity"] for r in nd.class_pairs(df, sigs, P).collect()}
-    names = {r["fp"]: r["chunk_id"] for r in sigs.collect()}
-    text = dict(rows)
-    for (a, b), s in links.items():
-        x, y = nd.shingles(text[names[a]], 3, {}), nd.shingles(text[names[b]], 3, {})
-        j = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
-        assert abs(j - s) < 0.15
+    sigs = nd.signatures(spark.createDataFrame(rows, SCHEMA), P)
+    x, y = sigs.selectExpr("chunk_id a", "sig sa"), sigs.selectExpr("chunk_id b", "sig sb")
+    for r in x.join(y, F.expr("a < b AND substr(a, 1, 4) = substr(b, 1, 4)")).select("a", "b", nd.estimate("sa", "sb", P).alias("s")).collect():
+        p, q = (nd.shingles(dict(rows)[r[k]], 3, {}) for k in ("a", "b"))
+        assert abs(len(np.intersect1d(p, q)) / len(np.union1d(p, q)) - r["s"]) < 0.15
+
+
+def test_threshold_is_exact(spark):
+    rows = []
+    for i in range(40):
+        both = [f"b{i}x{k}" for k in range(102)]
+        tail = (46, 50, 54)[i % 3]  # 100 shared runs of 200 - 8, 200 or 200 + 8
+        rows += [(f"p{i:02d}{v}", " ".join(both + [f"{v}{i}y{k}" for k in range(tail)])) for v in "ab"]
+    got, want = found(spark, rows), truth(rows)
+    assert len(want) == 27 and got <= want and len(got) >= len(want) - 1  # the bands may miss one in sixty at the half
+
+
+def test_crowded_buckets_are_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SAMPLED", 1)
+    monkeypatch.setattr(nd, "CROWD", 5)
+    monkeypatch.setattr(nd, "MEMBERS", 3)
+    rnd = random.Random(4)
+    base = [rnd.choice(WORDS) for _ in range(60)]
+    rows = [(f"h{i:02d}", " ".join(f"new{i}" if k == i else w for k, w in enumerate(base))) for i in range(30)] + corpus(3, 4)
+    assert found(spark, rows) == truth(rows)
 
 
 def test_long_text_goes_in_steps():
