@@ -149,11 +149,11 @@ def class_pairs(chunks: DataFrame, sigs: DataFrame, p: Params) -> DataFrame:
         rows = rows.join(few, "key", "left_anti")
     rows = rows.repartition("key").dropDuplicates(["key", "fp"])  # copies of a set from several tasks; no second shuffle
     shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    shared = persist_table(shared, "near-dup-buckets")
-    small = shared.where(F.col("n") <= p.bucket).groupBy("key").agg(F.array_sort(F.collect_set("fp")).alias("m"))
+    shared = persist_table(shared.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("m")), "near-dup-buckets")  # where the rows lie
+    small = shared.where(F.size("m") <= p.bucket)
     inner = F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda i: F.transform(F.slice("m", 1, i), lambda x: F.struct(x.alias("fa"), F.element_at("m", (i + 1).cast("int")).alias("fb"))))
-    pairs = small.where(F.size("m") > 1).select(F.explode(F.flatten(inner)).alias("p")).select("p.fa", "p.fb").distinct()
-    full = shared.where(F.col("n") > p.bucket).select("fp").distinct()
+    pairs = small.select(F.explode(F.flatten(inner)).alias("p")).select("p.fa", "p.fb").distinct()
+    full = shared.where(F.size("m") > p.bucket).select(F.explode("m").alias("fp")).distinct()
     hot = full if hot is None else hot.unionByName(full).distinct()
     if not hot.isEmpty():
         pairs = pairs.unionByName(prefix_join(chunks, sigs, hot, p)).distinct()
@@ -166,9 +166,10 @@ def class_pairs(chunks: DataFrame, sigs: DataFrame, p: Params) -> DataFrame:
 
 
 def shingle_sets(chunks: DataFrame, sigs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """``(fp, sh)``: the shingles of the ``wanted`` sets, from the text of the first chunk that has them."""
+    """``(fp, sh)``: the shingles of the ``wanted`` sets, from the text of the first chunk that has them; a set comes
+    again for each row that repeats the chunk."""
     rep = sigs.select("fp", "chunk_id").join(wanted, "fp").groupBy("fp").agg(F.min("chunk_id").alias("chunk_id"))
-    texts = chunks.select("chunk_id", "content").where("content IS NOT NULL").join(rep, "chunk_id").groupBy("fp").agg(F.min("content").alias("content"))
+    texts = chunks.select("chunk_id", "content").where("content IS NOT NULL").join(rep, "chunk_id").select("fp", "content")
 
     def tokens(frames):
         known: dict = {}
@@ -181,6 +182,7 @@ def shingle_sets(chunks: DataFrame, sigs: DataFrame, wanted: DataFrame, p: Param
 def verified(chunks: DataFrame, sigs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
     """Of ``pairs`` of sets those that really share ``p.least`` of all their shingles."""
     sets = persist_table(shingle_sets(chunks, sigs, pairs.select(F.explode(F.array("fa", "fb")).alias("fp")).distinct(), p), "near-dup-sets")
+    sets = sets.groupBy("fp").agg(F.first("sh").alias("sh"))  # one exchange serves this and both joins
     a, b = sets.select(F.col("fp").alias("fa"), F.col("sh").alias("x")), sets.select(F.col("fp").alias("fb"), F.col("sh").alias("y"))
     both = pairs.join(a, "fa").join(b, "fb").select("fa", "fb", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"))
     return both.where(F.col("c") >= p.least * (F.col("n") - F.col("c")) - 1e-9).select("fa", "fb")
@@ -198,7 +200,7 @@ def prefix_join(chunks: DataFrame, sigs: DataFrame, hot: DataFrame, p: Params) -
     ``1 / p.least`` apart. It finds all of them, with no cap on partners; the members of a frequent shingle are cut into
     blocks, so that it is not the work of one task.
     """
-    sh = persist_table(shingle_sets(chunks, sigs, hot, p).select("fp", F.size("sh").alias("s"), F.explode("sh").alias("g")), "near-dup-prefix")
+    sh = persist_table(shingle_sets(chunks, sigs, hot, p).select("fp", F.size("sh").alias("s"), F.explode("sh").alias("g")).distinct(), "near-dup-prefix")
     df = sh.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     ranked = sh.join(df, "g", "left").withColumn("i", F.row_number().over(Window.partitionBy("fp").orderBy(F.coalesce("df", F.lit(1)), "g")))
     prefix = ranked.where((F.col("i") <= F.col("s") - F.ceil(F.col("s") * p.least) + 1) & F.col("df").isNotNull()).withColumn("parts", F.ceil(F.col("df") / MEMBERS).cast("int"))
