@@ -1,18 +1,19 @@
-"""A versioned chunk store on Parquet, and the plans behind ingest, reingest, delete, list and status."""
+"""A chunk store of appended segments on Parquet, and the plans behind ingest, reingest, delete, list and status."""
 
 from __future__ import annotations
 
-import contextlib
-import json
-import os
-import time
+import functools
 import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkwise.commits import CommitLog, Conflict
+from chunkwise.functions import tokens
 from chunkwise.functions.text import content_hash
+from chunkwise.operators import search
+from chunkwise.session import persist_table
 
 CHUNK_SCHEMA = (
     "chunk_id STRING, source STRING, mtime BIGINT, chunk_index INT, content STRING, content_hash STRING, ingest_time BIGINT, "
@@ -21,14 +22,18 @@ CHUNK_SCHEMA = (
 DAY_MS = 24 * 3600 * 1000
 
 
+def _figures(chunks: DataFrame, *more) -> DataFrame:
+    return chunks.groupBy("source").agg(
+        F.count(F.lit(1)).alias("chunks"), F.max("mtime").alias("mtime"), F.max("ingest_time").alias("ingest_time"), F.min("content_hash").alias("content_hash"), *more
+    )
+
+
 def source_stats(chunks: DataFrame) -> DataFrame:
     """``(source, chunks, mtime, ingest_time, content_hash)`` per source; vectors and texts are not read.
 
     The hash is the smallest non-null one, so the result does not depend on row order. Null sources are left out.
     """
-    return chunks.where("source IS NOT NULL").groupBy("source").agg(
-        F.count(F.lit(1)).alias("chunks"), F.max("mtime").alias("mtime"), F.max("ingest_time").alias("ingest_time"), F.min("content_hash").alias("content_hash")
-    )
+    return _figures(chunks.where("source IS NOT NULL"))
 
 
 def staleness(state: DataFrame, probe: DataFrame, now_ms: int, threshold_ms: int = DAY_MS) -> DataFrame:
@@ -98,76 +103,147 @@ def embed(df: DataFrame, text_col: str, embedder=None, dim: int = 64) -> DataFra
     return df.withColumn("vector", run(text_col))
 
 
+NOTHING: dict = {"dim": None, "segments": [], "dead": [], "touched": []}
+
+
 class Store:
-    """Chunks in version folders ``v=N``; a manifest names the current one and moves by an atomic rename.
+    """Chunks in segments that are written once, and a log of commits that says which segments and tombstones count.
 
-    Readers never lock. One writer at a time holds an exclusive lock file; others retry until a timeout. Every write
-    makes a new version from the old one (replace by source), so a failed write leaves the store as it was.
+    A commit adds a segment (chunks, their postings, one row of figures per source), a list of sources whose older rows
+    are dead, or a list of sources whose ingest time moved on. So a change writes about as much as it changes, readers
+    see whole commits and never lock, and what a writer that died has left is named by no commit. Writers that come at
+    the same time follow one another: a commit that another writer was first with is made again behind it, without
+    writing its data again (:class:`chunkwise.commits.CommitLog`). :meth:`compact` rewrites the live rows as one segment,
+    by itself when there are more than ``most_segments``; :meth:`vacuum` removes what no commit names.
+
+    Postings lie in ``buckets`` folders by the hash of the term, sorted by term, so that a search reads the folders of
+    its terms only; figures per source give document counts and mean length without reading texts.
     """
 
-    def __init__(self, spark: SparkSession, path: str, dim: int | None = None, retry_ms: int = 100, timeout_s: float = 30.0):
-        self.spark, self.path, self.dim, self.retry_ms, self.timeout_s = spark, path, dim, retry_ms, timeout_s
-        os.makedirs(path, exist_ok=True)
-        have = self.manifest().get("dim")
+    def __init__(self, spark: SparkSession, path: str, dim: int | None = None, retry_ms: int = 100, timeout_s: float = 30.0, buckets: int = 16, most_segments: int = 32):
+        self.spark, self.path, self.dim, self.retry_ms, self.timeout_s, self.buckets, self.most_segments = spark, path.rstrip("/"), dim, retry_ms, timeout_s, buckets, most_segments
+        self.log = CommitLog(spark, path)
+        have = self.manifest()["dim"]
         if dim and have and dim != have:
             raise ValueError(f"store has vectors of {have} dimensions, not {dim}")
 
     def manifest(self) -> dict:
-        file = os.path.join(self.path, "MANIFEST.json")
-        if not os.path.exists(file):
-            return {"version": 0, "dim": None}
-        with open(file, encoding="utf-8") as f:
-            return json.load(f)
+        """The last commit: dimension, and folders of segments, tombstones and moved ingest times with their commits."""
+        return {**NOTHING, **self.log.last()[1]}
 
     def exists(self) -> bool:
-        return self.manifest()["version"] > 0
+        return self.log.head() >= 0
+
+    def _read(self, kind: str, part: str, schema: str, m: dict | None = None) -> DataFrame | None:
+        """Rows of all folders of a kind with the number of their commit as ``_n``; None if there are no folders."""
+        folders = (m or self.manifest())[kind]
+        if not folders:
+            return None
+        number = F.create_map(*[F.lit(x) for f in folders for x in (f["folder"], f["commit"])])
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{f['folder']}{part}" for f in folders])
+        return rows.withColumn("_n", F.element_at(number, F.regexp_extract("_metadata.file_path", r"((?:seg|dead|touched)-[0-9a-f]{32})", 1)))
+
+    def _live(self, rows: DataFrame, m: dict) -> DataFrame:
+        """Rows whose source no later commit has replaced or deleted; rows with a null source stay."""
+        dead = self._read("dead", "", "source STRING", m)
+        if dead is None:
+            return rows
+        gone = dead.groupBy(F.col("source").alias("_s")).agg(F.max("_n").alias("_gone"))
+        return rows.join(gone, F.col("source") == F.col("_s"), "left").where("_gone IS NULL OR _n >= _gone").drop("_s", "_gone")
+
+    def _moved(self, rows: DataFrame, m: dict) -> DataFrame:
+        """Rows with the ingest time a later commit has moved on."""
+        touched = self._read("touched", "", "source STRING, ingest_time BIGINT", m)
+        if touched is None:
+            return rows
+        t = touched.groupBy(F.col("source").alias("_s")).agg(F.max_by(F.struct(F.col("_n").alias("n"), "ingest_time"), F.struct("_n", "ingest_time")).alias("_t"))
+        joined = rows.join(t, F.col("source") == F.col("_s"), "left")
+        return joined.withColumn("ingest_time", F.when(F.col("_t.n") > F.col("_n"), F.col("_t.ingest_time")).otherwise(F.col("ingest_time"))).drop("_s", "_t")
+
+    def _chunks(self, m: dict) -> DataFrame:
+        rows = self._read("segments", "/chunks", CHUNK_SCHEMA, m)
+        return self.spark.createDataFrame([], CHUNK_SCHEMA) if rows is None else self._moved(self._live(rows, m), m).drop("_n")
 
     def chunks(self) -> DataFrame:
-        m = self.manifest()
-        if not m["version"]:
-            return self.spark.createDataFrame([], CHUNK_SCHEMA)
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/{m['folder']}")
-
-    @contextlib.contextmanager
-    def lock(self):
-        file, end = os.path.join(self.path, "LOCK"), time.time() + self.timeout_s
-        while True:
+        return self._chunks(self.manifest())
+
+    def _segment(self, chunks: DataFrame) -> str:
+        """Write chunks, sorted by source so that lookups by source skip files, their postings and figures per source."""
+        folder = f"seg-{uuid.uuid4().hex}"
+        schema = self.spark.createDataFrame([], CHUNK_SCHEMA).schema
+        have = set(chunks.columns)
+        full = chunks.withColumns({f.name: F.lit(None) for f in schema if f.name not in have}).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+        full.repartitionByRange("source", "chunk_index").sortWithinPartitions("source", "chunk_index").write.parquet(f"{self.path}/{folder}/chunks")
+        rows = self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/{folder}/chunks")
+        docs = rows.where("chunk_id IS NOT NULL AND content IS NOT NULL").select("chunk_id", "source", tokens.standard("content").alias("terms")).dropDuplicates(["chunk_id"])
+        docs = docs.withColumn("dl", F.size("terms"))
+        posts = docs.select("chunk_id", "source", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        posts = posts.withColumn("bucket", self._bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term", "chunk_id")
+        posts.write.partitionBy("bucket").parquet(f"{self.path}/{folder}/postings")
+        written = self.spark.read.schema("chunk_id STRING, source STRING, dl INT, tf BIGINT").parquet(f"{self.path}/{folder}/postings")
+        size = written.groupBy(F.col("source").alias("_s")).agg(F.count_distinct("chunk_id").alias("docs"), F.sum("tf").alias("terms"))
+        figures = _figures(rows, F.sum(F.octet_length("content")).alias("bytes")).join(size, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        figures.write.parquet(f"{self.path}/{folder}/sources")
+        return folder
+
+    def _bucket(self, term):
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+
+    def _list(self, kind: str, rows: DataFrame) -> str:
+        folder = f"{kind}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _commit(self, **added: str) -> None:
+        """Commit folders of the given kinds behind whatever was committed meanwhile."""
+        def make(n: int, entry: dict) -> dict:
+            e = {**NOTHING, **entry, "dim": self.dim or entry.get("dim")}
+            return {k: [*v, {"folder": added[k], "commit": n}] if k in added else v for k, v in e.items()}
+
+        self.log.change(make, self.retry_ms, self.timeout_s)
+        if len(self.manifest()["segments"]) > self.most_segments:
+            self.compact()
+
+    def compact(self, tries: int = 5) -> None:
+        """Rewrite the live rows as one segment without tombstones. If another writer commits meanwhile, again."""
+        for _ in range(tries):
+            n, entry = self.log.last()
+            folder = self._segment(self._chunks({**NOTHING, **entry}))
             try:
-                os.close(os.open(file, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-                break
-            except FileExistsError:
-                if time.time() >= end:
-                    raise TimeoutError("the store is locked by another writer") from None
-                time.sleep(self.retry_ms / 1000)
-        try:
-            yield
-        finally:
-            os.remove(file)
-
-    def write(self, chunks: DataFrame) -> None:
-        """Commit ``chunks`` as the new version, sorted by source so that lookups by source skip files."""
+                self.log.commit(n + 1, {**NOTHING, "dim": entry.get("dim"), "segments": [{"folder": folder, "commit": n + 1}]})
+                return
+            except Conflict:
+                self.log.remove(folder)
+        raise Conflict(f"{tries} rewrites lost against other writers")
+
+    def vacuum(self) -> list[str]:
+        """Remove the folders that the last commit does not name; only when no reader of an older state or writer is at work."""
         m = self.manifest()
-        folder = f"v={m['version'] + 1}-{uuid.uuid4().hex[:8]}"
-        cols = [f.split()[0] for f in CHUNK_SCHEMA.split(", ")]
-        have = set(chunks.columns)
-        full = chunks.withColumns({c: F.lit(None) for c in cols if c not in have})
-        schema = self.spark.createDataFrame([], CHUNK_SCHEMA).schema
-        full = full.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-        full.repartitionByRange("source", "chunk_index").sortWithinPartitions("source", "chunk_index").write.parquet(f"{self.path}/{folder}")
-        draft = os.path.join(self.path, f".manifest-{uuid.uuid4().hex}")
-        with open(draft, "w", encoding="utf-8") as f:
-            json.dump({"version": m["version"] + 1, "folder": folder, "dim": self.dim or m.get("dim")}, f)
-        os.replace(draft, os.path.join(self.path, "MANIFEST.json"))
+        named = {f["folder"] for k in ("segments", "dead", "touched") for f in m[k]} | {CommitLog.FOLDER}
+        gone = [n for n in self.log.names() if n not in named]
+        for n in gone:
+            self.log.remove(n)
+        return gone
+
+    FIGURES = "source STRING, chunks BIGINT, mtime BIGINT, ingest_time BIGINT, content_hash STRING, bytes BIGINT, docs BIGINT, terms BIGINT"
+
+    def figures(self) -> DataFrame:
+        """One row per live source and segment: chunks, times, hash, bytes, documents with a term and number of terms."""
+        m = self.manifest()
+        rows = self._read("segments", "/sources", self.FIGURES, m)
+        return self.spark.createDataFrame([], self.FIGURES) if rows is None else self._moved(self._live(rows, m), m).drop("_n")
 
     def state(self) -> DataFrame:
-        return source_stats(self.chunks())
+        """As :func:`source_stats`, from the figures written with the segments; no chunk is read."""
+        return self.figures().where("source IS NOT NULL").groupBy("source").agg(F.sum("chunks").alias("chunks"), F.max("mtime").alias("mtime"), F.max("ingest_time").alias("ingest_time"), F.min("content_hash").alias("content_hash"))
 
     def upsert(self, chunks: DataFrame, append: bool = False) -> None:
         """Replace the chunks of every source in ``chunks``; with ``append`` old chunks stay beside the new ones."""
-        with self.lock():
-            old = self.chunks()
-            kept = old if append else old.join(chunks.select("source").distinct(), "source", "left_anti")
-            self.write(kept.unionByName(chunks, allowMissingColumns=True))
+        folder = self._segment(chunks)
+        if append or not self.manifest()["segments"]:
+            return self._commit(segments=folder)
+        sources = self.spark.read.schema("source STRING").parquet(f"{self.path}/{folder}/sources")
+        self._commit(segments=folder, dead=self._list("dead", sources.where("source IS NOT NULL")))
 
     def ingest(self, sources: DataFrame, chunk, now_ms: int = 0, embedder=None) -> dict:
         """Ingest ``sources(source, mtime, text[, status_code])``; ``chunk(DataFrame) -> (source, chunk_index, content, ...)``.
@@ -175,71 +251,159 @@ class Store:
         Counts: sources added or replaced, chunks made, sources skipped (unchanged) or failed. Sources whose text gives
         no chunk are ``empty`` and leave the store alone. Hashes are taken only where the mtime differs.
         """
+        return self._ingest(sources, "text", lambda todo: chunk(todo.select("source", "text")), now_ms, embedder)
+
+    def ingest_paths(self, paths: list[str], size: int = 1000, tokens: str = "bpe", now_ms: int = 0, embedder=None, fetcher=None) -> dict:
+        """Scan files, folders and URLs, read every format to chunks, embed and store them; counts as :meth:`ingest`, with
+        the list of ``missing`` paths. Files that cannot be read give no chunk and count as ``empty``."""
+        from chunkwise.sources import files
+
+        there, urls, missing = files.expand(paths)
+        found = files.collected(self.spark, there, urls, fetcher)
+
+        def chunk(todo: DataFrame) -> DataFrame:
+            return files.read_files(todo, size, tokens).where("status = 'ok'").drop("status")
+
+        return {**self._ingest(found, "content", chunk, now_ms, embedder), "missing": missing}
+
+    def _ingest(self, sources: DataFrame, body: str, chunk, now_ms: int, embedder) -> dict:
         state = self.state()
         known = state.select(F.col("source").alias("_s"), F.col("mtime").alias("_m"))
         status = F.col("status_code") if "status_code" in sources.columns else F.lit(None).cast("int")
         src = sources.withColumn("status_code", status).dropDuplicates(["source"])
         new = src.join(known, (F.col("source") == F.col("_s")) & (F.col("mtime") == F.col("_m")) & (F.col("mtime") != 0), "left_anti")
-        plan = ingest_plan(new.withColumn("content_hash", content_hash("text")), state)
-        todo = plan.where("action IN ('add', 'update')")
-        url = F.col("source").rlike("^https?://")
-        pieces = embed(chunk(todo.select("source", "text")), "content", embedder)
-        rows = with_provenance(pieces, todo.withColumn("ingest_time", F.when(url, F.lit(now_ms).cast("bigint")))).cache()
+        plan = ingest_plan(new.withColumn("content_hash", content_hash(body)), state)
         counts = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
-        made = rows.agg(F.count(F.lit(1)).alias("c"), F.count_distinct("source").alias("s")).first()
         total = src.count()
-        if made["c"]:
-            self.upsert(rows)
-        rows.unpersist()
+        todo = plan.where("action IN ('add', 'update')")
+        url = F.col("source").rlike("^https?://")
+        made = {"c": 0, "s": 0}
+        if counts.get("add", 0) + counts.get("update", 0):
+            pieces = embed(chunk(todo), "content", embedder)
+            rows = persist_table(with_provenance(pieces, todo.withColumn("ingest_time", F.when(url, F.lit(now_ms).cast("bigint")))), "ingest")
+            made = rows.agg(F.count(F.lit(1)).alias("c"), F.count_distinct("source").alias("s")).first()
+            if made["c"]:
+                self.upsert(rows)
         done = counts.get("add", 0) + counts.get("update", 0)
         return {"ingested": made["s"], "chunks": made["c"], "skipped": total - done - counts.get("failed", 0), "failed": counts.get("failed", 0), "empty": done - made["s"]}
 
     def touch(self, sources: DataFrame, now_ms: int) -> None:
         """Set only the ingest time of the chunks of ``sources``; everything else stays."""
-        with self.lock():
-            hit = sources.select(F.col("source").alias("_s")).distinct()
-            rows = self.chunks().join(hit, F.col("source") == F.col("_s"), "left")
-            self.write(rows.withColumn("ingest_time", F.when(F.col("_s").isNotNull(), F.lit(now_ms).cast("bigint")).otherwise(F.col("ingest_time"))).drop("_s"))
+        self._commit(touched=self._list("touched", sources.select("source", F.lit(now_ms).cast("bigint").alias("ingest_time")).where("source IS NOT NULL").distinct()))
 
     def reingest(self, sources: DataFrame, chunk, now_ms: int, threshold_ms: int = DAY_MS, everything: bool = False) -> dict:
+        """Look at every stored source again and do what :func:`reingest_plan` says; ``stale`` is null if ``everything``."""
         scan = sources.withColumn("content_hash", content_hash("text")).withColumn("status_code", F.col("status_code") if "status_code" in sources.columns else F.lit(None).cast("int"))
-        plan = reingest_plan(self.state(), scan, now_ms, threshold_ms, everything).cache()
+        plan = persist_table(reingest_plan(self.state(), scan, now_ms, threshold_ms, everything), "reingest-plan")
         counts = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
         stale = None if everything else plan.where("status = 'STALE'").count()
-        todo = scan.join(plan.where("action = 'replace'").select("source"), "source", "left_semi")
-        url = F.col("source").rlike("^https?://")
-        rows = with_provenance(embed(chunk(todo.select("source", "text")), "content"), todo.withColumn("ingest_time", F.when(url, F.lit(now_ms).cast("bigint")))).cache()
-        made = rows.count()
+        made = 0
+        if counts.get("replace"):
+            todo = scan.join(plan.where("action = 'replace'").select("source"), "source", "left_semi")
+            url = F.col("source").rlike("^https?://")
+            rows = persist_table(with_provenance(embed(chunk(todo.select("source", "text")), "content"), todo.withColumn("ingest_time", F.when(url, F.lit(now_ms).cast("bigint")))), "ingest")
+            made = rows.count()
+            if made:
+                self.upsert(rows)
         if counts.get("touch"):
             self.touch(plan.where("action = 'touch'").select("source"), now_ms)
-        if made:
-            self.upsert(rows)
-        rows.unpersist()
-        plan.unpersist()
         return {"stale": stale, "reingested": counts.get("replace", 0), "chunks": made, "touched": counts.get("touch", 0), "skipped": counts.get("skip", 0)}
 
     def delete(self, sources: list[str]) -> dict[str, int]:
         """Removed chunks per source; 0 for sources that are not stored."""
-        with self.lock():
-            rows = self.chunks()
-            counts = {r["source"]: r["n"] for r in rows.where(F.col("source").isin(*sources)).groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-            if counts:
-                self.write(rows.where(~F.col("source").isin(*sources) | F.col("source").isNull()))
+        counts = {r["source"]: r["chunks"] for r in self.state().where(F.col("source").isin(*sources)).select("source", "chunks").collect()}
+        if counts:
+            self.delete_all(self.spark.createDataFrame([(s,) for s in counts], "source string"))
         return {s: counts.get(s, 0) for s in sources}
 
+    def delete_all(self, sources: DataFrame) -> None:
+        """Delete the sources of a table, however many."""
+        self._commit(dead=self._list("dead", sources.select("source").where("source IS NOT NULL").distinct()))
+
     def drop_all(self) -> None:
-        with self.lock():
-            self.write(self.spark.createDataFrame([], CHUNK_SCHEMA))
+        self.log.change(lambda n, e: {**NOTHING, "dim": self.dim or e.get("dim")}, self.retry_ms, self.timeout_s)
 
     def list(self, probe: DataFrame, now_ms: int, threshold_ms: int = DAY_MS) -> DataFrame:
         return staleness(self.state(), probe, now_ms, threshold_ms).select("source", "chunks", "mtime", "content_hash", "status").orderBy("source")
 
     def status(self, probe: DataFrame, now_ms: int, threshold_ms: int = DAY_MS) -> DataFrame:
-        return totals(staleness(self.state(), probe, now_ms, threshold_ms))
+        """One row as :func:`totals`, with the ``bytes`` of all texts."""
+        size = self.figures().agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+        return totals(staleness(self.state(), probe, now_ms, threshold_ms)).join(F.broadcast(size))  # one row each
 
     def show(self, source: str) -> DataFrame:
         return self.chunks().where(F.col("source") == source).orderBy("chunk_index")
 
+    def chunk(self, source: str, index: int, window: int = 0) -> DataFrame:
+        """A chunk and up to ``window`` chunks before and behind it; ``LookupError`` if there is no such chunk."""
+        rows = search.chunk_range(self.chunks(), source, index, window)
+        if rows.isEmpty():
+            raise LookupError(f"no chunk {index} of {source}")
+        return rows
+
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """``(term, chunk_id, tf, dl, part)`` of live chunks, of the given ``terms`` only; ``part`` is the commit of the segment."""
+        m = self.manifest()
+        schema = "term STRING, chunk_id STRING, source STRING, tf BIGINT, dl INT, bucket INT"
+        each = [self.spark.read.schema(schema).parquet(f"{self.path}/{f['folder']}/postings").withColumn("_n", F.lit(f["commit"])) for f in m["segments"]]
+        rows = functools.reduce(DataFrame.unionByName, each) if each else self.spark.createDataFrame([], schema).withColumn("_n", F.lit(0))
+        if terms is not None:
+            rows = rows.join(terms.select("term").distinct().withColumn("bucket", self._bucket("term")), ["bucket", "term"], "left_semi")
+        return self._live(rows, m).select("term", "chunk_id", "tf", "dl", F.col("_n").alias("part"))
+
+    def search(self, queries: DataFrame, k: int = 5, mode: str = "hybrid", min_score: float = 0.0, rerank: bool = False, embedder=None, candidates: int = 25) -> DataFrame:
+        """``(query_id, rank, chunk_id, score, source, chunk_index, content)`` for ``queries(query_id, question[, qvec])``.
+
+        ``mode`` is ``bm25`` (from the stored postings), ``embedding`` or ``hybrid``; questions without ``qvec`` are
+        embedded. With ``rerank`` the best ``candidates`` are scored again. Null and blank questions give no rows.
+        """
+        q = queries.where(F.length(F.trim("question")) > 0)
+        if "qvec" not in q.columns and mode != "bm25":
+            q = embed(q, "question", embedder).withColumnRenamed("vector", "qvec")
+        n = max(k, candidates) if rerank else k
+        if mode == "bm25":
+            hits = self._bm25(q, n, min_score)
+        elif mode == "embedding":
+            hits = search.knn(self.chunks(), q, n, min_score)
+        elif mode == "hybrid":
+            hits = search.fuse(self._bm25(q, 2 * n, min_score), search.knn(self.chunks(), q, 2 * n), n, min_score)
+        else:
+            raise ValueError(f"unknown search mode: {mode}")
+        if rerank:
+            hits = search.rerank(hits, q, self.chunks(), k)
+        text = search.live_chunks(self.chunks().select("chunk_id", "source", "chunk_index", "content"))
+        return hits.select("query_id", "rank", "chunk_id", "score").join(text, "chunk_id").select("query_id", "rank", "chunk_id", "score", "source", "chunk_index", "content")
+
+    def _bm25(self, q: DataFrame, k: int, min_score: float) -> DataFrame:
+        terms = search.question_terms(q)
+        stats = self.figures().agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), (F.sum("terms") / F.sum("docs")).alias("avgdl"))
+        return search.ranked(self.postings(terms), stats, terms, k, min_score, ["part"])
+
+    def query(self, queries: DataFrame, k: int = 5, mode: str = "hybrid", chat=None, **more) -> DataFrame:
+        """``(query_id, answer)``: the answers of ``chat(question, context)`` to the results; without one the context."""
+        return search.answer(self.search(queries, k, mode, **more), queries, chat)
+
+
+class Conversation:
+    """Questions to a store one after the other; earlier turns are part of what ``chat(question, context, history)`` sees."""
+
+    def __init__(self, store: Store, chat, k: int = 5, mode: str = "hybrid"):
+        self.store, self.chat, self.k, self.mode, self.turns = store, chat, k, mode, []
+
+    def ask(self, question: str) -> str:
+        """The answer to one question; a blank question is a ``ValueError`` and no turn."""
+        if not question or not question.strip():
+            raise ValueError("a question must not be blank")
+        q = self.store.spark.createDataFrame([(0, question)], "query_id long, question string")
+        context = self.store.query(q, self.k, self.mode).first()["answer"]  # one question, k chunks
+        said = self.chat(question, context, list(self.turns))
+        self.turns.append((question, said))
+        return said
+
+    def reset(self) -> None:
+        """Forget the earlier turns."""
+        self.turns.clear()
+
 
 def totals(listed: DataFrame) -> DataFrame:
     """One row: sources, chunks, latest mtime (0 if there is none) and stale sources."""

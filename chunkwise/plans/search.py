@@ -195,7 +195,7 @@ BM25 = (
 )
 
 
-def _bm25(k: int, where: str = "") -> str:
+def bm25_sql(k: int, where: str = "") -> str:
     return BM25.replace("@k@", str(k)).replace("@where@", where)
 
 
@@ -224,8 +224,8 @@ RESULTS = f"SELECT r.query_id, r.rank, c.source, r.score, c.content FROM ({_rank
 CONTEXT = "SELECT query_id, string_agg('<document source=\"' || source || '\">' || chr(10) || coalesce(content, '') || chr(10) || '</document>', chr(10) || chr(10) ORDER BY rank) AS context FROM (" + RESULTS + ") WHERE source IS NOT NULL GROUP BY 1"
 
 SQL = {
-    "bm25_topk": _bm25(5) + "SELECT query_id, rank, chunk_id, round(raw, 6) AS raw, round(score, 6) AS score FROM bm",
-    "bm25_normalized_min_score": _bm25(10) + "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM bm WHERE score >= 0.8",
+    "bm25_topk": bm25_sql(5) + "SELECT query_id, rank, chunk_id, round(raw, 6) AS raw, round(score, 6) AS score FROM bm",
+    "bm25_normalized_min_score": bm25_sql(10) + "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM bm WHERE score >= 0.8",
     "bm25_term_stats": "WITH " + DOCS.replace("@where@", "") + " SELECT term, count(DISTINCT chunk_id) AS df, count(*)::BIGINT AS cf FROM (SELECT chunk_id, unnest(terms) AS term FROM docs) GROUP BY 1",
     "bm25_corpus_stats": "WITH " + DOCS.replace("@where@", "") + " SELECT count(*) AS n, round(avg(dl), 6) AS avgdl FROM docs",
     "bm25_question_terms": "SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(" + TERMS.format("question") + ") AS term FROM queries) GROUP BY 1, 2",
@@ -235,13 +235,13 @@ SQL = {
     "knn_min_score": f"SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ({KNN_CHUNKS}) WHERE rank <= 10 AND score >= 0.75",
     "knn_embeddings": "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (" + KNN.format(id="vec_id", qv="qvec", v="embedding", q="(SELECT vec_id AS query_id, embedding AS qvec FROM embeddings WHERE vec_id % 50 = 0)", c="embeddings") + ") WHERE rank <= 4",
     "cosine_native": f"SELECT s.query_id, s.chunk_id, round((1 + list_cosine_similarity(q.qvec::DOUBLE[], c.vector::DOUBLE[])) / 2, 6) AS score FROM (SELECT DISTINCT query_id, chunk_id FROM search_scores WHERE search_mode = 'embedding') s JOIN (SELECT * FROM queries WHERE qvec IS NOT NULL) q USING (query_id) JOIN (SELECT * FROM ({CHUNKS}) WHERE {OK_VECTOR.format('vector')}) c USING (chunk_id)",
-    "hybrid_rrf": _bm25(10) + f", lft AS (SELECT * FROM bm), rgt AS (SELECT * FROM ({KNN_CHUNKS}) WHERE rank <= 10), {FUSE} SELECT * FROM fused WHERE rank <= 5",
+    "hybrid_rrf": bm25_sql(10) + f", lft AS (SELECT * FROM bm), rgt AS (SELECT * FROM ({KNN_CHUNKS}) WHERE rank <= 10), {FUSE} SELECT * FROM fused WHERE rank <= 5",
     "rrf_fuse_scores": f"WITH lft AS ({_ranked_sql('bm25')}), rgt AS ({_ranked_sql('embedding')}), {FUSE} SELECT * FROM fused WHERE rank <= 5",
     "rrf_single_list": f"WITH lft AS ({_ranked_sql('bm25')}), rgt AS (SELECT * FROM lft WHERE false), {FUSE} SELECT query_id, rank, chunk_id, score FROM fused WHERE rank <= 5",
     "score_mode_max_normalized": "SELECT query_id, chunk_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM (SELECT DISTINCT query_id, chunk_id, score FROM search_scores WHERE search_mode = 'bm25' AND score IS NOT NULL AND NOT isnan(score))",
-    "rerank_lexical": _bm25(15) + f", j AS (SELECT bm.query_id, bm.chunk_id, bm.rank AS before, list_distinct(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: x <> '')) AS qw, list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: x <> '')) AS cw FROM bm JOIN queries USING (query_id) JOIN ({CHUNKS}) c USING (chunk_id)), s AS (SELECT query_id, chunk_id, before, coalesce(len(list_intersect(qw, cw))::DOUBLE / nullif(len(qw), 0), 0) AS score FROM j), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, before)::INT AS rank, chunk_id, round(score, 6) AS score, before FROM s) SELECT * FROM r WHERE rank <= 5",
+    "rerank_lexical": bm25_sql(15) + f", j AS (SELECT bm.query_id, bm.chunk_id, bm.rank AS before, list_distinct(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: x <> '')) AS qw, list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: x <> '')) AS cw FROM bm JOIN queries USING (query_id) JOIN ({CHUNKS}) c USING (chunk_id)), s AS (SELECT query_id, chunk_id, before, coalesce(len(list_intersect(qw, cw))::DOUBLE / nullif(len(qw), 0), 0) AS score FROM j), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, before)::INT AS rank, chunk_id, round(score, 6) AS score, before FROM s) SELECT * FROM r WHERE rank <= 5",
     "rerank_stored_scores": f"WITH c AS ({_ranked_sql('embedding')}), s AS (SELECT query_id, chunk_id, max(score) AS score FROM search_scores WHERE search_mode = 'rerank' AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2), r AS (SELECT c.query_id, row_number() OVER (PARTITION BY c.query_id ORDER BY s.score DESC, c.rank)::INT AS rank, c.chunk_id, c.rank::INT AS before, round(s.score, 6) AS score FROM c JOIN s ON s.query_id = c.query_id AND s.chunk_id = c.chunk_id) SELECT * FROM r WHERE rank <= 5",
-    "filtered_search": _bm25(3, " AND lang IN ('de', 'fr')") + "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM bm",
+    "filtered_search": bm25_sql(3, " AND lang IN ('de', 'fr')") + "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM bm",
     "chunk_neighbors_range_join": f"SELECT DISTINCT h.query_id, n.source, n.chunk_index, n.chunk_id FROM (SELECT r.query_id, c.source, c.chunk_index FROM ({_ranked_sql('rerank', 3)}) r JOIN ({CHUNKS}) c USING (chunk_id)) h JOIN ({CHUNKS}) n ON n.source = h.source AND n.chunk_index BETWEEN greatest(0, h.chunk_index - 1) AND h.chunk_index + 1",
     "chunk_range_window": f"SELECT chunk_index, chunk_id, heading_title FROM ({CHUNKS}) WHERE source = '/srv/corpus/handbook/operations-journal.md' AND chunk_index BETWEEN 7 AND 11 AND EXISTS (SELECT 1 FROM chunks WHERE source = '/srv/corpus/handbook/operations-journal.md' AND chunk_index = 9)",
     "chunk_neighbors_window": f"SELECT chunk_id, lag(chunk_id) OVER w AS previous, lead(chunk_id) OVER w AS following FROM ({CHUNKS}) WHERE chunk_index IS NOT NULL AND source IS NOT NULL WINDOW w AS (PARTITION BY source ORDER BY chunk_index, chunk_id)",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chunkwise.functions import text as tx
 from chunkwise.operators import store
-from chunkwise.session import table
+from chunkwise.plans import search
+from chunkwise.session import shared_dir, table
 
 NOW = 1_757_100_000_000
 WEEK = 7 * store.DAY_MS
@@ -135,7 +138,43 @@ def late_arrivals(spark, d):
     return s.where(F.col("arrived_at") > F.col("scanned_at") + F.expr("INTERVAL 1 DAY")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"))
 
 
-NAMES = (list_documents, staleness_status, store_status, stored_bytes, incremental_anti_join, unchanged_predicate, ingest_actions, ingest_counters, reingest_plan, reingest_counters, http_status_filter, content_hash, dedupe_by_hash, repeated_chunk_ids, latest_versions, chunk_index_gaps, empty_output_sources, vanished_sources, delete_sources, delete_counts, point_lookup, run_summary, late_arrivals)
+def _store(spark, rows):
+    """A new store in the shared folder with ``rows``, in two segments."""
+    made = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    half = F.pmod(F.xxhash64("source"), F.lit(2))
+    made.upsert(rows.where(half == 0))
+    made.upsert(rows.where(half == 1))
+    return made
+
+
+def _lived(spark, d):
+    """A store of all chunks after one folder was replaced, another deleted, and the pages touched."""
+    rows = _chunks(spark, d).where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"]).drop("lang", "vector")
+    made = _store(spark, rows)
+    again = rows.where(F.col("source").startswith("/srv/repo/")).select("source").distinct()
+    made.upsert(again.select(F.concat("source", F.lit("#new")).alias("chunk_id"), "source", F.lit(1).cast("bigint").alias("mtime"), F.lit(0).alias("chunk_index"), F.lit("replaced").alias("content"), F.lit("h").alias("content_hash")))
+    made.delete_all(rows.where(F.col("source").startswith("/srv/mirror/")))
+    made.touch(rows.where(F.col("source").startswith("http")), NOW)
+    return made
+
+
+def store_chunks(spark, d):
+    """Chunks of a store after upsert, delete and touch."""
+    return _lived(spark, d).chunks().select("chunk_id", "source", "mtime", "ingest_time", F.length("content").cast("bigint").alias("n_chars"))
+
+
+def store_state(spark, d):
+    """Figures per source of the same store, from what was written with the segments."""
+    return _lived(spark, d).state()
+
+
+def store_bm25(spark, d):
+    """Search from stored postings in two segments."""
+    made = _store(spark, _chunks(spark, d).where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"]).drop("lang", "vector"))
+    return made.search(table(spark, d, "queries"), 5, "bm25").select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+NAMES = (store_chunks, store_state, store_bm25, list_documents, staleness_status, store_status, stored_bytes, incremental_anti_join, unchanged_predicate, ingest_actions, ingest_counters, reingest_plan, reingest_counters, http_status_filter, content_hash, dedupe_by_hash, repeated_chunk_ids, latest_versions, chunk_index_gaps, empty_output_sources, vanished_sources, delete_sources, delete_counts, point_lookup, run_summary, late_arrivals)
 QUERIES = {f.__name__: f for f in NAMES}
 
 SCAN = "scan AS (SELECT * FROM source_scan WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY scanned_at DESC, scan_id DESC) = 1)"
@@ -145,7 +184,16 @@ FRESH = f"CASE WHEN coalesce(CASE WHEN regexp_matches(st.source, '^https?://') T
 SAME = "(coalesce(scan.mtime <> 0 AND scan.mtime = st.mtime, false) OR coalesce(scan.content_hash = st.content_hash, false))"
 ACT = f"act AS (SELECT scan.source, CASE WHEN coalesce(scan.status_code, 0) >= 400 THEN 'failed' WHEN {SAME} THEN 'skip' WHEN st.source IS NULL THEN 'add' ELSE 'update' END AS action FROM scan LEFT JOIN st ON st.source = scan.source)"
 RE = f"re AS (SELECT *, CASE WHEN status = 'CURRENT' THEN 'keep' WHEN seen IS NULL OR coalesce(code, 0) >= 400 THEN 'skip' WHEN regexp_matches(source, '^https?://') AND coalesce(h = content_hash, false) THEN 'touch' ELSE 'replace' END AS action FROM (SELECT st.source, st.content_hash, scan.source AS seen, scan.status_code AS code, scan.content_hash AS h, {FRESH} AS status FROM st LEFT JOIN scan ON scan.source = st.source))"
+LIVED = f"""
+WITH one AS (SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id) = 1), live AS (
+    SELECT chunk_id, source, mtime, CASE WHEN starts_with(source, 'http') THEN {NOW} ELSE ingest_time END AS ingest_time, content, content_hash
+    FROM one WHERE source IS NULL OR NOT (starts_with(source, '/srv/repo/') OR starts_with(source, '/srv/mirror/'))
+    UNION ALL SELECT DISTINCT source || '#new', source, 1, NULL::BIGINT, 'replaced', 'h' FROM one WHERE starts_with(source, '/srv/repo/')
+)
+"""
 SQL = {
+    "store_chunks": LIVED + "SELECT chunk_id, source, mtime, ingest_time, length(content) AS n_chars FROM live",
+    "store_state": LIVED + "SELECT source, count(*) AS chunks, max(mtime) AS mtime, max(ingest_time) AS ingest_time, min(content_hash) AS content_hash FROM live WHERE source IS NOT NULL GROUP BY 1",
     "list_documents": f"WITH {STATE} SELECT * FROM st",
     "staleness_status": f"WITH {SCAN}, {STATE} SELECT st.source, {FRESH} AS status FROM st LEFT JOIN scan ON scan.source = st.source",
     "store_status": f"WITH {SCAN}, {STATE} SELECT count(*) AS documents, coalesce(sum(chunks), 0)::BIGINT AS chunks, coalesce(max(st.mtime), 0) AS last_mtime, count(*) FILTER (WHERE {FRESH} = 'STALE') AS stale FROM st LEFT JOIN scan ON scan.source = st.source",
@@ -170,3 +218,5 @@ SQL = {
     "run_summary": "SELECT r.run_id, run_status, coalesce(sources, 0) AS sources, coalesce(no_hash, 0) AS no_hash, strftime(make_timestamp(started_ms * 1000), '%Y-%m-%dT%H:%M:%SZ') AS started FROM ingest_runs r LEFT JOIN (SELECT run_id, count(DISTINCT source) AS sources, count(*) FILTER (WHERE content_hash IS NULL) AS no_hash FROM (SELECT DISTINCT * FROM ingest_log) GROUP BY 1) l ON l.run_id = r.run_id",
     "late_arrivals": "SELECT kind, count(*) AS n, count(DISTINCT source) AS sources FROM source_scan WHERE arrived_at > scanned_at + INTERVAL 1 DAY GROUP BY 1",
 }
+
+SQL["store_bm25"] = search.bm25_sql(5) + "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM bm"

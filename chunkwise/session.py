@@ -21,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is made, set and removed at exit.
+    Only where the session names none and runs in one process (local tests) a temporary folder is made, set and removed
+    at exit; on a cluster it must be set, since a folder of one machine is not shared.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="chunkwise-")
     atexit.register(shutil.rmtree, made, True)
     spark.conf.set("spark.checkpoint.dir", made)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import http.client
 import os
+import urllib.error
 import urllib.request
 from collections.abc import Callable
 
@@ -19,7 +21,7 @@ from chunkwise.sources import code, html, office, rst, tabular, xmldoc
 READERS = {
     "md": "markdown", "markdown": "markdown", "txt": "plain", "text": "plain", "log": "plain", "html": "html", "htm": "html", "xhtml": "html", "adoc": "asciidoc", "asciidoc": "asciidoc",
     "rst": "rst", "xml": "xml", "svg": "xml", "rss": "xml", "atom": "xml", "csv": "csv", "json": "json", "jsonc": "jsonc", "jsonl": "jsonl", "rtf": "rtf", "kt": "code", "kts": "code", "java": "code",
-    "ts": "code", "tsx": "code", "js": "code", "jsx": "code", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "pdf": "pdf",
+    "ts": "code", "tsx": "code", "js": "code", "jsx": "code", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "pdf": "pdf", "doc": "old office", "ppt": "old office", "xls": "old office",
 }
 
 
@@ -51,6 +53,10 @@ def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     return df.select(source.alias("source"), F.lit("file").alias("kind"), F.unix_millis("modificationTime").alias("mtime"), tx.extension(source).alias("ext"), "content")
 
 
+#: Status of a URL that gave no answer; as any from 400 on it counts as failed.
+UNREACHABLE = 599
+
+
 def fetch_url(url: str, timeout: float = 30.0) -> tuple[bytes, str, str | None, int]:
     """Bytes, content type, Last-Modified and status of a URL; redirects are followed."""
     try:
@@ -58,6 +64,8 @@ def fetch_url(url: str, timeout: float = 30.0) -> tuple[bytes, str, str | None,
             return r.read(), r.headers.get("Content-Type", ""), r.headers.get("Last-Modified"), r.status
     except urllib.error.HTTPError as e:
         return b"", "", None, e.code
+    except (OSError, ValueError, http.client.HTTPException):  # no such host, time-out, broken answer, no URL
+        return b"", "", None, UNREACHABLE
 
 
 def fetch(urls: DataFrame, fetcher: Callable = fetch_url) -> DataFrame:
@@ -71,10 +79,29 @@ def fetch(urls: DataFrame, fetcher: Callable = fetch_url) -> DataFrame:
     return got.select("source", "content", "content_type", tx.http_date_ms("modified").alias("mtime"), "status_code")
 
 
+def collected(spark: SparkSession, paths: list[str], urls: list[str], fetcher: Callable | None = None) -> DataFrame:
+    """``(source, mtime, ext, content, status_code)`` of files below existing paths and of URLs.
+
+    The format of a URL follows from its content type (``html``, ``pdf``, ``txt``), else from its path."""
+    schema = "source string, mtime bigint, ext string, content binary, status_code int"
+    got = spark.createDataFrame([], schema)
+    if paths:
+        got = got.unionByName(scan(spark, paths).select("source", "mtime", "ext", "content", F.lit(None).cast("int").alias("status_code")))
+    if urls:
+        pages = fetch(spark.createDataFrame([(u,) for u in urls], "source string"), fetcher or fetch_url)
+        kind = F.create_map(*[F.lit(x) for x in ("html", "html", "pdf", "pdf", "plain", "txt")])[reader_for_content_type(F.col("content_type"))]
+        got = got.unionByName(pages.select("source", F.coalesce("mtime", F.lit(0)).alias("mtime"), F.coalesce(kind, tx.extension("source")).alias("ext"), "content", "status_code"))
+    return got
+
+
 def decode(data: bytes) -> str:
     return data.decode("utf-8", "replace").removeprefix("﻿")
 
 
+class Unreadable(Exception):
+    """A file that is skipped; its text is the status."""
+
+
 def read_bytes(data: bytes, reader: str, ext: str, size: int, tokens: str = "words") -> list[dict]:
     """Chunks ``{chunk, heading_title, heading_level, heading_path}`` of one file; errors name what is wrong."""
     from chunkwise.operators.blocks import HEADING
@@ -120,8 +147,10 @@ def read_bytes(data: bytes, reader: str, ext: str, size: int, tokens: str = "wor
     def whole(pieces: list[str]) -> list[dict]:
         return [{"chunk": p, "heading_title": None, "heading_level": None, "heading_path": []} for p in pieces]
 
+    if reader in ("pdf", "old office"):
+        raise Unreadable("unsupported")
     if reader in ("docx", "pptx", "xlsx") and office.is_encrypted(data):
-        raise ValueError("encrypted office file")
+        raise Unreadable("encrypted")
     if reader == "docx":
         return markdown(office.docx_to_markdown(data))
     if reader == "pptx":
@@ -162,15 +191,16 @@ CHUNKS = "source string, chunk_index int, content string, heading_title string,
 
 def read_files(files: DataFrame, size: int = 1000, tokens: str = "bpe", strip_binary: bool = False) -> DataFrame:
     """Chunks of ``files(source, ext, content BINARY)``: one row per chunk with ``status`` ``ok``, or one row without
-    content whose status says why a file has none (``empty``, ``binary``, ``error: ...``).
+    content whose status says why a file has none (``empty``, ``binary``, ``encrypted``, ``unsupported``, ``error: ...``).
 
-    Binary files of unknown formats are skipped, or their printable runs are read if ``strip_binary``. Null contents are
+    Bytes of PDF files (their positioned elements are read by ``pdf``) and of old Office formats are unsupported and
+    never taken for text. Binary files of unknown formats are skipped, or their printable runs are read if ``strip_binary``. Null contents are
     empty. Files are independent: no shuffle.
     """
     ext = F.coalesce("ext", F.lit(""))
     known = files.select("source", ext.alias("ext"), reader_for(ext).alias("reader"), "content")
-    office_kind = F.col("reader").isin("docx", "pptx", "xlsx", "pdf")
-    rows = known.withColumn("binary", ~office_kind & F.coalesce(tx.is_binary("content"), F.lit(False)))
+    unknown = ~F.col("ext").isin(*READERS)
+    rows = known.withColumn("binary", unknown & F.coalesce(tx.is_binary("content"), F.lit(False)))
     if strip_binary:
         rows = rows.withColumn("content", F.when(F.col("binary"), F.encode(tx.printable_runs("content"), "UTF-8")).otherwise(F.col("content"))).withColumn("binary", F.lit(False))
 
@@ -183,6 +213,9 @@ def read_files(files: DataFrame, size: int = 1000, tokens: str = "bpe", strip_bi
                     continue
                 try:
                     got = read_bytes(data or b"", reader, e, size, tokens)
+                except Unreadable as err:
+                    out.append((source, None, None, None, None, None, str(err)))
+                    continue
                 except Exception as err:  # a broken file must not end the job
                     out.append((source, None, None, None, None, None, f"error: {err}"))
                     continue

@@ -1,12 +1,11 @@
-import os
-import threading
-
 import pytest
 from pyspark.sql import functions as F
 
+from chunkwise.commits import CommitLog, Conflict
 from chunkwise.operators import evaluation as ev
+from chunkwise.operators import search
 from chunkwise.operators.chunking import word_windows
-from chunkwise.operators.store import Store
+from chunkwise.operators.store import Conversation, Store, embed
 from chunkwise.streaming import ingest
 
 SRC = "source string, mtime long, text string, status_code int"
@@ -30,7 +29,7 @@ def test_life_of_a_store(spark, tmp_path):
     assert [r["content"] for r in s.show("/a.txt").collect()] == ["new text"]
     probe = spark.createDataFrame([("/a.txt", 2)], "source string, current_mtime long")
     assert {r["source"]: r["status"] for r in s.list(probe, 1500, 1000).collect()} == {"/a.txt": "CURRENT", "https://u": "CURRENT"}
-    assert s.status(probe, 9_000_000_000).first().asDict() == {"documents": 2, "chunks": 2, "last_mtime": 2, "stale": 1}
+    assert s.status(probe, 9_000_000_000).first().asDict() == {"documents": 2, "chunks": 2, "last_mtime": 2, "stale": 1, "bytes": 11}
     re = s.reingest(src(spark, ("/a.txt", 2, "new text"), ("https://u", 1, "x y")), chunk, 9_000_000_000)
     assert re == {"stale": 1, "reingested": 0, "chunks": 0, "touched": 1, "skipped": 0}
     row = s.show("https://u").first()
@@ -50,17 +49,84 @@ def test_append_keeps_old_chunks(spark, tmp_path):
     assert s.chunks().count() == 2
 
 
-def test_lock_waits_and_times_out(spark, tmp_path):
-    s = Store(spark, str(tmp_path / "s"), timeout_s=0.3)
-    with s.lock():
-        with pytest.raises(TimeoutError):
-            with s.lock():
-                pass
-    lock = os.path.join(s.path, "LOCK")
-    open(lock, "w").close()
-    threading.Timer(0.1, os.remove, [lock]).start()
-    with s.lock():
-        pass
+def written(path):
+    return sum(f.stat().st_size for f in path.rglob("*") if f.is_file())
+
+
+C = "chunk_id string, source string, chunk_index int, content string"
+
+
+def test_changes_write_about_as_much_as_they_change(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.upsert(spark.createDataFrame([(f"{i}#0", f"/{i}", 0, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(600)], C))
+    before = written(tmp_path / "s")
+    s.upsert(spark.createDataFrame([("7#0", "/7", 0, "new words")], C))
+    s.delete(["/8"])
+    s.touch(spark.createDataFrame([("/9",)], "source string"), 5)
+    assert written(tmp_path / "s") - before < before / 4
+    got = {r["source"]: (r["content"], r["ingest_time"]) for r in s.chunks().collect()}
+    assert len(got) == 599 and got["/7"] == ("new words", None) and got["/9"][1] == 5 and "/8" not in got
+    assert {r["source"]: r["ingest_time"] for r in s.state().where("source IN ('/7', '/9')").collect()} == {"/7": None, "/9": 5}
+    m = s.manifest()
+    s.compact()
+    assert {r["source"]: (r["content"], r["ingest_time"]) for r in s.chunks().collect()} == got
+    assert len(m["segments"]) == 2 and len(s.manifest()["segments"]) == 1 and not s.manifest()["dead"] and s.vacuum() and s.chunks().count() == 599
+
+
+def test_two_writers_and_a_dead_one(spark, tmp_path):
+    a, b = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    a.upsert(spark.createDataFrame([("1", "/a", 0, "x")], C))
+    left = b._segment(spark.createDataFrame([("9", "/z", 0, "lost")], C))  # a writer that dies before its commit
+    folder = b._segment(spark.createDataFrame([("2", "/b", 0, "y")], C))
+    a.upsert(spark.createDataFrame([("3", "/a", 0, "z")], C))
+    b._commit(segments=folder)
+    assert sorted(r["content"] for r in a.chunks().collect()) == ["y", "z"] and left in a.vacuum()
+    with pytest.raises(Conflict):
+        a.log.commit(a.log.head(), {})
+    slow = CommitLog(spark, str(tmp_path / "other"))
+    with pytest.raises(TimeoutError):
+        slow.change(lambda n, e: slow.commit(n, {}) or {}, retry_ms=1, timeout_s=0.05)
+
+
+def test_search_chunk_and_conversation(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    rows = [(f"/{i}#{j}", f"/{i}", j, f"alpha {'beta' if i == 2 else 'gamma'} text {i} {j}") for i in range(4) for j in range(3)]
+    s.upsert(embed(spark.createDataFrame(rows[:6], C), "content"))
+    s.upsert(embed(spark.createDataFrame(rows[6:], C), "content"))
+    s.upsert(embed(spark.createDataFrame([("/2#0", "/2", 0, "beta beta only")], C), "content"))
+    q = spark.createDataFrame([(1, "beta"), (2, "alpha gamma"), (3, " "), (4, None), (5, "unknownword")], "query_id long, question string")
+    got = s.search(q, 3, "bm25").collect()
+    assert [(r["query_id"], r["chunk_id"]) for r in got if r["query_id"] == 1] == [(1, "/2#0")] and {r["query_id"] for r in got} == {1, 2}
+    want = {(r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in search.bm25(s.chunks(), q.where("query_id < 3"), 3).collect()}
+    assert {(r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in got} == want
+    for mode in ("embedding", "hybrid"):
+        assert s.search(q, 2, mode, rerank=True).where("query_id = 1 AND rank = 1").first()["chunk_id"] == "/2#0"
+    with pytest.raises(ValueError):
+        s.search(q, 2, "odd")
+    assert [r["chunk_index"] for r in s.chunk("/1", 1, 1).collect()] == [0, 1, 2]
+    with pytest.raises(LookupError):
+        s.chunk("/1", 9)
+    talk = Conversation(s, lambda question, context, history: f"{len(history)} {'beta' in context}", mode="bm25")
+    assert [talk.ask("beta"), talk.ask("beta")] == ["0 True", "1 True"]
+    talk.reset()
+    assert talk.ask("unknownword") == "0 False"
+    with pytest.raises(ValueError):
+        talk.ask(" ")
+
+
+def test_ingest_paths(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# Head\n\nsome text")
+    (tmp_path / "in" / "b.pdf").write_bytes(b"%PDF-1.4 binary")
+
+    def fetcher(url):
+        return (b"<h1>Page</h1><p>from the net</p>", "text/html", None, 200) if "good" in url else (b"", "", None, 599)
+
+    s = Store(spark, str(tmp_path / "s"))
+    got = s.ingest_paths([str(tmp_path / "in"), "https://good", "https://bad", "/no/such"], now_ms=7, fetcher=fetcher)
+    assert got == {"ingested": 2, "chunks": 2, "skipped": 0, "failed": 1, "empty": 1, "missing": ["/no/such"]}
+    assert {r["source"].rsplit("/", 1)[-1]: r["heading_path"] for r in s.chunks().collect()} == {"a.md": ["Head"], "good": ["Page"]}
+    assert s.ingest_paths([str(tmp_path / "in")])["skipped"] == 1
 
 
 def test_streaming_ingest(spark, tmp_path):
