@@ -23,10 +23,19 @@ def search_text(results: DataFrame) -> DataFrame:
     return _per_query(results, F.concat(head, F.coalesce("content", F.lit(""))), "\n\n").withColumnRenamed("body", "out")
 
 
+#: Layout of JSON lists in the output.
+FIRST, NEXT, LAST = "[\n    ", ",\n    ", "\n  ]"
+
+
+def _listed(body):
+    return F.when(F.length(F.coalesce(body, F.lit(""))) > 0, F.concat(F.lit(FIRST), body, F.lit(LAST))).otherwise("[]")
+
+
 def search_json(results: DataFrame, mode: str = "hybrid") -> DataFrame:
-    one = F.concat(F.lit('{"path":'), quoted(F.col("source")), F.lit(',"chunkIndex":'), F.col("chunk_index").cast("string"), F.lit(',"score":'), F.format_string("%.2f", "score"), F.lit(',"content":'), quoted(F.coalesce("content", F.lit(""))), F.lit("}"))
-    body = _per_query(results, one, ",")
-    return body.select("query_id", F.concat(F.lit('{"mode":"' + mode + '","chunks":['), "body", F.lit("]}")).alias("out"))
+    """``(query_id, out)``: mode and chunks, one chunk a line; scores in full."""
+    one = F.concat(F.lit('{"path": '), quoted(F.col("source")), F.lit(', "chunkIndex": '), F.col("chunk_index").cast("string"), F.lit(', "score": '), F.col("score").cast("string"), F.lit(', "content": '), quoted(F.coalesce("content", F.lit(""))), F.lit("}"))
+    body = _per_query(results, one, NEXT)
+    return body.select("query_id", F.concat(F.lit('{\n  "mode": "' + mode + '",\n  "chunks": '), _listed(F.col("body")), F.lit("\n}")).alias("out"))
 
 
 def search_xml(results: DataFrame, mode: str = "hybrid") -> DataFrame:
@@ -36,15 +45,41 @@ def search_xml(results: DataFrame, mode: str = "hybrid") -> DataFrame:
 
 
 def answer_text(answers: DataFrame, results: DataFrame) -> DataFrame:
-    """The answer and a list of its sources with scores."""
-    refs = _per_query(results, F.format_string("%s (score %.2f)", "source", "score"), "\n")
-    return answers.join(refs, "query_id", "left").select("query_id", F.concat("answer", F.lit("\n\n--- Sources ---\n"), F.coalesce("body", F.lit(""))).alias("out"))
+    """The answer and a list of its sources with scores; the answer alone without sources."""
+    refs = _per_query(results, F.concat("source", F.lit(" (score: "), F.col("score").cast("string"), F.lit(")\n")), "")
+    said = F.concat("answer", F.when(F.col("body").isNotNull(), F.concat(F.lit("\n\n--- Sources ---\n"), "body")).otherwise(""))
+    return answers.join(refs, "query_id", "left").select("query_id", said.alias("out"))
 
 
 def answer_json(answers: DataFrame, results: DataFrame) -> DataFrame:
-    one = F.concat(F.lit('{"path":'), quoted(F.col("source")), F.lit(',"score":'), F.format_string("%.2f", "score"), F.lit(',"excerpt":'), quoted(F.coalesce(excerpt("content"), F.lit(""))), F.lit("}"))
-    refs = _per_query(results, one, ",")
-    return answers.join(refs, "query_id", "left").select("query_id", F.concat(F.lit('{"answer":'), quoted(F.col("answer")), F.lit(',"sources":['), F.coalesce("body", F.lit("")), F.lit("]}")).alias("out"))
+    one = F.concat(F.lit('{"path": '), quoted(F.col("source")), F.lit(', "score": '), F.col("score").cast("string"), F.lit(', "excerpt": '), quoted(F.coalesce(excerpt("content"), F.lit(""))), F.lit("}"))
+    refs = _per_query(results, one, NEXT)
+    return answers.join(refs, "query_id", "left").select("query_id", F.concat(F.lit('{\n  "answer": '), quoted(F.col("answer")), F.lit(',\n  "sources": '), _listed(F.col("body")), F.lit("\n}")).alias("out"))
+
+
+def _chunk_list(chunks: DataFrame, piece, sep: str) -> DataFrame:
+    """``(source, body)``: the chunks of a source in order; ``piece(number, path)`` writes one, ``path`` is null if empty."""
+    path = F.when(F.size("heading_path") > 0, path_string("heading_path"))
+    part = F.struct("chunk_index", "chunk_id", path.alias("path"), F.coalesce("content", F.lit("")).alias("text"))
+    rows = chunks.select("source", part.alias("x")).groupBy("source").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return rows.select("source", F.array_join(F.transform("xs", lambda x, i: piece(x, i + 1)), sep).alias("body"))
+
+
+def chunk_list_text(chunks: DataFrame) -> DataFrame:
+    """``(source, out)``: ``[1] chunk=0  heading_path=A > B`` and the text of each chunk."""
+    def piece(x, n):
+        return F.concat(F.lit("["), n.cast("string"), F.lit("] "), F.concat_ws("  ", F.concat(F.lit("chunk="), x["chunk_index"].cast("string")), F.concat(F.lit("heading_path="), x["path"])), F.lit("\n"), x["text"])
+
+    return _chunk_list(chunks, piece, "\n\n").withColumnRenamed("body", "out")
+
+
+def chunk_list_json(chunks: DataFrame) -> DataFrame:
+    """``(source, out)``: index, heading path if there is one, and content of each chunk, one a line."""
+    def piece(x, n):
+        path = F.concat(F.lit('"headingPath": '), quoted(x["path"]))
+        return F.concat(F.lit("{"), F.concat_ws(", ", F.concat(F.lit('"chunkIndex": '), F.coalesce(x["chunk_index"].cast("string"), F.lit("null"))), path, F.concat(F.lit('"content": '), quoted(x["text"]))), F.lit("}"))
+
+    return _chunk_list(chunks, piece, NEXT).select("source", F.concat(F.lit('{\n  "chunks": '), _listed(F.col("body")), F.lit("\n}")).alias("out"))
 
 
 def chunk_lines(chunks: DataFrame) -> DataFrame:

@@ -229,7 +229,7 @@ def heading_path_json(spark, d):
 # sinks
 def _results(spark, d):
     c = live_chunks(table(spark, d, "chunks")).select("chunk_id", "source", "chunk_index", "content")
-    return _ranked(spark, d, "rerank", 3).join(c, "chunk_id").where("source IS NOT NULL").select("query_id", "rank", "source", "chunk_index", "score", "content")
+    return _ranked(spark, d, "rerank", 3).join(c, "chunk_id").where("source IS NOT NULL").select("query_id", "rank", "source", "chunk_index", F.round("score", 6).alias("score"), "content")
 
 
 def format_text(spark, d):
@@ -254,6 +254,18 @@ def format_answer_json(spark, d):
     return output.answer_json(answers, _results(spark, d))
 
 
+def _listed(spark, d):
+    return live_chunks(table(spark, d, "chunks")).where("source IS NOT NULL AND chunk_index IS NOT NULL")
+
+
+def chunk_list_text(spark, d):
+    return output.chunk_list_text(_listed(spark, d)).select("source", F.sha2("out", 256).alias("digest"))
+
+
+def chunk_list_json(spark, d):
+    return output.chunk_list_json(_listed(spark, d)).select("source", F.sha2("out", 256).alias("digest"))
+
+
 def chunk_list_lines(spark, d):
     return output.chunk_lines(live_chunks(table(spark, d, "chunks")).where("content IS NOT NULL AND chunk_index IS NOT NULL AND heading_path IS NOT NULL"))
 
@@ -281,20 +293,21 @@ def freshness_of_chunks(spark, d):
 NAMES = (
     reader_routing, content_type_routing, binary_detect, binary_strip, read_document_files, to_document, html_title, html_markdown, html_paragraphs, csv_markdown_table, csv_rows, jsonl_items, json_field_render, jsonl_chunks,
     xml_sections, rst_sections, code_declarations, code_chunks, declaration_stats, pdf_layout_markdown, pdf_repeated_elements, pdf_font_size_class, repeated_lines, hyphen_repair, text_escapes, http_dates, iso_times, sizes_shown,
-    lenient_numbers, word_counts, path_parts, heading_path_json, format_text, format_json, format_xml, format_answer_text, format_answer_json, chunk_list_lines, chunk_list_xml, arrivals_per_day, arrivals_window, freshness_of_chunks,
+    lenient_numbers, word_counts, path_parts, heading_path_json, format_text, format_json, format_xml, format_answer_text, format_answer_json, chunk_list_text, chunk_list_json, chunk_list_lines, chunk_list_xml, arrivals_per_day, arrivals_window, freshness_of_chunks,
 )
 QUERIES = {f.__name__: f for f in NAMES}
 
 DOCS = "(SELECT * FROM documents WHERE text IS NOT NULL)"
 EXT = r"lower(regexp_extract(regexp_replace(string_split({0}, '/')[-1], '[?#].*$', ''), '\.([A-Za-z0-9]+)$', 1))"
 READER = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e, r in files.READERS.items() if r == reader)}) THEN '{reader}'" for reader in sorted(set(files.READERS.values()))) + " ELSE 'plain' END"
-RES = f"(SELECT r.query_id, r.rank, c.source, c.chunk_index, r.score, c.content FROM ({_ranked_sql('rerank', 3)}) r JOIN ({CHUNKS}) c USING (chunk_id) WHERE c.source IS NOT NULL)"
+RES = f"(SELECT r.query_id, r.rank, c.source, c.chunk_index, round(r.score, 6) AS score, c.content FROM ({_ranked_sql('rerank', 3)}) r JOIN ({CHUNKS}) c USING (chunk_id) WHERE c.source IS NOT NULL)"
 NL = "chr(10)"
 JSON = "replace(replace(replace(replace(replace({0}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
 XML = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 CLASS = "CASE WHEN r < 0.6 THEN 'xx-small' WHEN r < 0.75 THEN 'x-small' WHEN r < 0.9 THEN 'small' WHEN r < 1.1 THEN 'medium' WHEN r < 1.35 THEN 'large' WHEN r < 1.7 THEN 'x-large' ELSE 'xx-large' END"
-REFS = f"SELECT query_id, string_agg(source || ' (score ' || printf('%.2f', score) || ')', {NL} ORDER BY rank) AS body FROM {RES} GROUP BY 1"
-REFS_JSON = "SELECT query_id, string_agg('{\"path\":\"' || " + JSON.format("source") + " || '\",\"score\":' || printf('%.2f', score) || ',\"excerpt\":\"' || " + JSON.format("coalesce(substring(content, 1, 200), '')") + f" || '\"}}', ',' ORDER BY rank) AS body FROM {RES} GROUP BY 1"
+REFS = f"SELECT query_id, string_agg(source || ' (score: ' || score || ')' || {NL}, '' ORDER BY rank) AS body FROM {RES} GROUP BY 1"
+REFS_JSON = "SELECT query_id, string_agg('{\"path\": \"' || " + JSON.format("source") + " || '\", \"score\": ' || score || ', \"excerpt\": \"' || " + JSON.format("coalesce(substring(content, 1, 200), '')") + f" || '\"}}', ',' || {NL} || '    ' ORDER BY rank) AS body FROM {RES} GROUP BY 1"
+LISTED = f"(SELECT *, row_number() OVER (PARTITION BY source ORDER BY chunk_index, chunk_id) AS no, CASE WHEN len(heading_path) > 0 THEN array_to_string(heading_path, ' > ') END AS hp FROM ({CHUNKS}) WHERE source IS NOT NULL AND chunk_index IS NOT NULL)"
 SQL = {
     "reader_routing": f"SELECT doc_id, ext, {READER} AS reader FROM (SELECT doc_id, {EXT.format('path')} AS ext FROM documents)",
     "content_type_routing": "SELECT CASE WHEN fmt = 'html' THEN 'html' WHEN fmt = 'txt' THEN 'plain' ELSE 'sniff' END AS reader, count(*) AS n FROM documents GROUP BY 1",
@@ -317,10 +330,12 @@ SQL = {
     "path_parts": f"SELECT source, string_split(source, '/')[-1] AS file, {EXT.format('source')} AS ext FROM (SELECT DISTINCT source FROM chunks WHERE source IS NOT NULL)",
     "heading_path_json": f"SELECT chunk_id, to_json(heading_path)::VARCHAR AS js, len(heading_path) AS n FROM ({CHUNKS}) WHERE heading_path IS NOT NULL",
     "format_text": f"SELECT query_id, string_agg('[' || rank || '] score=' || printf('%.2f', score) || '  source=' || source || '  chunk=' || chunk_index || {NL} || coalesce(content, ''), {NL} || {NL} ORDER BY rank) AS out FROM {RES} GROUP BY 1",
-    "format_json": "SELECT query_id, '{\"mode\":\"hybrid\",\"chunks\":[' || string_agg('{\"path\":\"' || " + JSON.format("source") + " || '\",\"chunkIndex\":' || chunk_index || ',\"score\":' || printf('%.2f', score) || ',\"content\":\"' || " + JSON.format("coalesce(content, '')") + f" || '\"}}', ',' ORDER BY rank) || ']}}' AS out FROM {RES} GROUP BY 1",
+    "format_json": "SELECT query_id, '{' || chr(10) || '  \"mode\": \"hybrid\",' || chr(10) || '  \"chunks\": [' || chr(10) || '    ' || string_agg('{\"path\": \"' || " + JSON.format("source") + " || '\", \"chunkIndex\": ' || chunk_index || ', \"score\": ' || score || ', \"content\": \"' || " + JSON.format("coalesce(content, '')") + f" || '\"}}', ',' || {NL} || '    ' ORDER BY rank) || {NL} || '  ]' || {NL} || '}}' AS out FROM {RES} GROUP BY 1",
     "format_xml": f"SELECT query_id, '<results mode=\"hybrid\">' || {NL} || string_agg('<result index=\"' || rank || '\" score=\"' || printf('%.2f', score) || '\" source=\"' || source || '\" chunk=\"' || chunk_index || '\">' || {NL} || coalesce(content, '') || {NL} || '</result>', {NL} ORDER BY rank) || {NL} || '</results>' AS out FROM {RES} GROUP BY 1",
-    "format_answer_text": f"SELECT q.query_id, 'About: ' || coalesce(question, '') || {NL} || {NL} || '--- Sources ---' || {NL} || coalesce(body, '') AS out FROM queries q LEFT JOIN ({REFS}) r USING (query_id)",
-    "format_answer_json": "SELECT q.query_id, '{\"answer\":\"' || " + JSON.format("'About: ' || coalesce(question, '')") + f" || '\",\"sources\":[' || coalesce(body, '') || ']}}' AS out FROM queries q LEFT JOIN ({REFS_JSON}) r USING (query_id)",
+    "format_answer_text": f"SELECT q.query_id, 'About: ' || coalesce(question, '') || CASE WHEN body IS NULL THEN '' ELSE {NL} || {NL} || '--- Sources ---' || {NL} || body END AS out FROM queries q LEFT JOIN ({REFS}) r USING (query_id)",
+    "format_answer_json": "SELECT q.query_id, '{' || chr(10) || '  \"answer\": \"' || " + JSON.format("'About: ' || coalesce(question, '')") + f" || '\",' || {NL} || '  \"sources\": ' || CASE WHEN body IS NULL THEN '[]' ELSE '[' || {NL} || '    ' || body || {NL} || '  ]' END || {NL} || '}}' AS out FROM queries q LEFT JOIN ({REFS_JSON}) r USING (query_id)",
+    "chunk_list_text": f"SELECT source, sha256(string_agg('[' || no || '] chunk=' || chunk_index || coalesce('  heading_path=' || hp, '') || {NL} || coalesce(content, ''), {NL} || {NL} ORDER BY no)) AS digest FROM {LISTED} GROUP BY 1",
+    "chunk_list_json": "SELECT source, sha256('{' || chr(10) || '  \"chunks\": [' || chr(10) || '    ' || string_agg('{\"chunkIndex\": ' || chunk_index || coalesce(', \"headingPath\": \"' || " + JSON.format("hp") + " || '\"', '') || ', \"content\": \"' || " + JSON.format("coalesce(content, '')") + f" || '\"}}', ',' || {NL} || '    ' ORDER BY no) || {NL} || '  ]' || {NL} || '}}') AS digest FROM {LISTED} GROUP BY 1",
     "chunk_list_lines": f"SELECT chunk_id, '[' || chunk_index || '] chars=' || length(content) || CASE WHEN len(heading_path) > 0 THEN '  heading_path=' || array_to_string(heading_path, ' > ') ELSE '' END || '  ' || replace(substring(content, 1, 60), {NL}, ' ') AS line FROM ({CHUNKS}) WHERE content IS NOT NULL AND chunk_index IS NOT NULL AND heading_path IS NOT NULL",
     "chunk_list_xml": f"SELECT chunk_id, sha256('<chunk index=\"' || chunk_index || '\"' || CASE WHEN len(heading_path) > 0 THEN ' heading_path=\"' || {XML.format('array_to_string(heading_path, chr(32) || chr(62) || chr(32))')} || '\"' ELSE '' END || '>' || {NL} || coalesce(content, '') || {NL} || '</chunk>') AS digest FROM ({CHUNKS}) WHERE heading_path IS NOT NULL AND chunk_index IS NOT NULL",
     "arrivals_per_day": "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",

@@ -53,11 +53,6 @@ def mode(values: list):
     return min(c, key=lambda v: (-c[v], v)) if c else None
 
 
-def size_class(size: float, body: float) -> int:
-    """0 xx-small … 3 medium … 6 xx-large, by ratio to the body size."""
-    return sum(size / body >= t for t in (0.6, 0.75, 0.9, 1.1, 1.35, 1.7))
-
-
 def repeated(elements: list[Element]) -> set[tuple]:
     """Places and texts found on at least ``max(2, pages / 3)`` pages: running heads and feet."""
     pages = {e.page for e in elements}
@@ -122,29 +117,36 @@ def cells_of(row: list[Element], o: Options) -> list[str]:
     return [join(g, o) for g in groups]
 
 
-def heading_level(row: list[Element], text: str, body: float, first_page: bool, titled: bool, largest: float) -> int | None:
-    """Heading level of a row of one style; the first rule that fits stands."""
-    e = row[0]
-    if len(text) > 200 or not text.strip() or e.mono:
+NUMBERED = re.compile(r"(\d+(?:\.\d+)*)[.)]?\s+\S")
+
+
+def heading_styles(elements: list[Element], body: float) -> dict[tuple[float, bool], int]:
+    """Level of each font style ``(size, bold)`` that stands out from running text, by rank: the largest is 1, bold stands
+    before regular of the same size; ranks beyond six are 6.
+
+    A style stands out if it is larger than the body, or bold in about its size, and sets less than a third of the text.
+    """
+    used: Counter = Counter()
+    for e in elements:
+        used[style(e)] += len(e.text.strip())
+    whole = sum(used.values())
+    out = [s for s, n in used.items() if 3 * n < whole and (s[0] >= body + 0.8 or (s[1] and s[0] >= body - 0.5))]
+    return {s: min(6, i + 1) for i, s in enumerate(sorted(out, key=lambda s: (-s[0], not s[1])))}
+
+
+def style(e: Element) -> tuple[float, bool]:
+    return round(e.size, 1), e.bold
+
+
+def heading_level(row: list[Element], text: str, styles: dict[tuple[float, bool], int]) -> int | None:
+    """Level of a row set in one heading style; a numbered title is as deep as its number, below the title of the whole.
+
+    Rows of code and rows that end like a sentence are none."""
+    level = styles.get(style(row[0]))
+    if level is None or len({style(e) for e in row}) > 1 or any(e.mono for e in row) or not any(c.isalpha() for c in text) or text.endswith((".", ",", ";")):
         return None
-    c = size_class(e.size, body)
-    if first_page and not titled and c >= 4 and (c >= 5 or e.size == largest):
-        return 1
-    if e.bold and re.match(r"^\d+\.\D", text):
-        return 2
-    if c >= 4 and re.match(r"^\d+\.\d", text) and len(text) < 80:
-        return 3
-    if c == 4 and not e.bold and len(text) < 80:
-        return 2
-    if e.bold and text.upper() == text and sum(x.isalpha() for x in text) >= 5 and len(text) < 80:
-        return 2
-    if e.bold and c >= 5:
-        return 2
-    if e.bold and c == 4:
-        return 4
-    if e.bold and c == 3 and e.size > 1.05 * body:
-        return 5
-    return None
+    numbered = NUMBERED.match(text)
+    return min(6, 2 + numbered.group(1).count(".")) if numbered else level
 
 
 def repair(lines: list[str]) -> str:
@@ -160,17 +162,15 @@ def repair(lines: list[str]) -> str:
 
 def pages_to_markdown(elements: list[Element], o: Options = Options()) -> str:
     """Markdown of a document: running heads, feet and page numbers dropped, columns read one after the other, headings
-    by size and weight, code of monospaced rows, lists, tables of aligned cells, paragraphs with hyphens repaired."""
+    by the rank of their font style, code of monospaced rows, lists, tables of aligned cells, paragraphs with hyphens repaired."""
     elements = [e for e in elements if e.text.strip() and (not o.max_pages or e.page <= o.max_pages)]
     if not elements:
         return ""
     gone = repeated(elements) if len({e.page for e in elements}) > 1 else set()
     kept = [e for e in elements if (round(e.x), round(e.y), e.text.strip()) not in gone]
     body = mode([round(e.size, 1) for e in kept or elements for _ in e.text.strip()])
-    largest = max((e.size for e in kept), default=body)
+    styles = heading_styles([e for e in kept if not e.mono], body)
     out: list[str] = []
-    titled = False
-    first = min(e.page for e in elements)
     for page in sorted({e.page for e in kept}):
         mine = [e for e in kept if e.page == page]
         low, high = min(e.y for e in mine), max(e.y for e in mine)
@@ -190,10 +190,9 @@ def pages_to_markdown(elements: list[Element], o: Options = Options()) -> str:
             while i < len(rows):
                 row = rows[i]
                 text = join(row, o)
-                level = heading_level(row, text, body, page == first, titled, largest) if len({(e.size, e.bold) for e in row}) == 1 else None
+                level = heading_level(row, text, styles)
                 if level:
                     flush()
-                    titled = titled or level == 1
                     if out and out[-1].startswith("#" * level + " ") and last is not None and row[0].y - last <= row[0].size * o.paragraph and i and level == 1:
                         out[-1] += " " + text
                     else:

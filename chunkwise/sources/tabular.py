@@ -137,12 +137,13 @@ class JsoncParser:
 
 
 def unquote(text: str) -> str:
+    """A string token as its text; other tokens, and strings with escapes JSON does not know, as they are written."""
     if not text.startswith('"'):
         return text
-    body = text[1:-1]
-    for a, b in (('\\"', '"'), ("\\\\", "\\"), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r")):
-        body = body.replace(a, b)
-    return body
+    try:
+        return json.loads(text, strict=False)
+    except ValueError:
+        return text[1:-1]
 
 
 def plain_note(note: str) -> str:
@@ -151,102 +152,96 @@ def plain_note(note: str) -> str:
 
 
 def flat(v: Value) -> str:
-    return ", ".join(f"{x.key}: {flat(x) if x.kind == 'object' else unquote(x.raw)}" for x in v.items)
-
-
-def prose(v: Value) -> str | None:
-    """Array as text: scalars by commas, objects flat by semicolons, mixed as fenced source; null if it is empty."""
-    if not v.items:
-        return None
-    kinds = {x.kind for x in v.items}
-    if kinds == {"scalar"}:
-        return ", ".join(unquote(x.raw) for x in v.items)
-    if kinds == {"object"}:
-        return "; ".join(flat(x) for x in v.items)
+    """Fields of an object on one line; what is nested deeper stays as written."""
+    return ", ".join(f"{x.key}: {unquote(x.raw)}" for x in v.items)
+
+
+def fenced(v: Value) -> str:
     return f"```json\n{v.raw}\n```"
 
 
-def pair(v: Value) -> str | None:
-    said = unquote(v.raw) if v.kind == "scalar" else prose(v) if v.kind == "array" else flat(v)
-    if said is None:
-        return None
-    notes = [plain_note(n) for n in v.notes] + ([plain_note(v.tail)] if v.tail else [])
-    return "\n".join([*[n for n in notes if n], f"**{v.key}**: {said}"])
+def field(v: Value) -> str | None:
+    """A field as ``**key**: value``: scalars bare, their arrays by commas, arrays of objects by semicolons, mixed arrays
+    and objects as fenced source below the key; None for an empty array."""
+    if v.kind == "scalar":
+        said = " " + unquote(v.raw)
+    elif v.kind == "object":
+        said = "\n" + fenced(v)
+    else:
+        kinds = {x.kind for x in v.items}
+        if not kinds:
+            return None
+        said = " " + ", ".join(unquote(x.raw) for x in v.items) if kinds == {"scalar"} else " " + "; ".join(map(flat, v.items)) if kinds == {"object"} else "\n" + fenced(v)
+    return f"**{v.key}**:{said}"
+
+
+def with_notes(v: Value, said: str) -> str:
+    """Comments before a value on a line above it, one on its own line behind it."""
+    above = above_note(v)
+    tail = plain_note(v.tail) if v.tail else ""
+    return (f"{above}\n" if above else "") + said + (f" - {tail}" if tail else "")
+
+
+def above_note(v: Value) -> str:
+    return " ".join(n for n in map(plain_note, v.notes) if n)
 
 
 def jsonc_chunks(source: str, size: int, count: Count) -> list[str]:
-    """Sections ``## a -> b`` of fields within ``size`` tokens; arrays as items; invalid input raises ``ValueError``.
+    """Sections within ``size`` tokens: ``## a -> b`` with the scalar fields of an object, ``## a -> Items 1-3`` with the
+    elements of an array; invalid input raises ``ValueError``.
 
-    Comments become prose before their field; comments before the root go before the first chunk and take part of its
-    budget. Objects in arrays are one chunk each, other elements are batched. A scalar root gives nothing.
+    Every object and array has sections of its own; objects in arrays are one chunk each, other elements are batched.
+    Comments become prose above what they precede, or behind it if they end its line; comments before the root stand
+    before every chunk and take part of its budget. A part above the budget stands alone; a scalar root gives nothing.
     """
     parser = JsoncParser(source)
     root = parser.parse()
-    head = "\n".join(n for n in map(plain_note, parser.preamble) if n)
-    budget = max(1, size - (count(head) if head else 0))
+    head = " ".join(n for n in map(plain_note, parser.preamble) if n)
+    out = sections(root, [], size - count(head) if head else size, count)
+    return [f"{head}\n\n{c}" for c in out] if head else out
+
+
+def sections(v: Value, path: list[str], size: int, count: Count) -> list[str]:
+    """Chunks of one object or array and of everything nested in it, in the order of the source."""
+    if v.kind == "array":
+        numbered = [(i, with_notes(x, element(x)), x.kind == "object") for i, x in enumerate(v.items, 1)]
+        return packed(numbered, lambda lo, hi: "## " + " -> ".join([*path, f"Item {lo}" if lo == hi else f"Items {lo}-{hi}"]), size, count)
     out: list[str] = []
-    if root.kind == "object":
-        emit_object(root, [], budget, count, out, "")
-    elif root.kind == "array":
-        emit_array(root, [], budget, count, out, "")
-    if head and out:
-        out[0] = f"{head}\n\n{out[0]}"
+    run: list[tuple[int, str, bool]] = []
+    title = " ".join(["##", " -> ".join(path)]).strip()
+    for x in [*(v.items if v.kind == "object" else ()), None]:
+        if x is not None and x.kind == "scalar":
+            run.append((0, with_notes(x, field(x)), False))
+            continue
+        out += packed(run, lambda lo, hi: title, size, count)
+        run = []
+        if x is not None:
+            below = sections(x, [*path, x.key], size, count)
+            note = above_note(x)
+            out += [f"{note}\n\n{below[0]}", *below[1:]] if note and below else below
     return out
 
 
-def emit_object(v: Value, path: list[str], size: int, count: Count, out: list[str], lead: str) -> None:
-    title = "## " + " -> ".join(path) if path else "##"
-    title = title.strip()
-    buffer: list[str] = []
-
-    def flush() -> None:
-        nonlocal buffer, lead
-        if buffer:
-            out.append((f"{lead}\n\n" if lead else "") + "\n\n".join([title, *buffer]))
-            lead = ""
-        buffer = []
-
-    for x in v.items:
-        nested = x.kind == "object" or (x.kind == "array" and any(y.kind != "scalar" for y in x.items))
-        if nested and x.items:
-            flush()
-            notes = "\n".join(n for n in map(plain_note, x.notes) if n)
-            (emit_object if x.kind == "object" else emit_array)(x, [*path, x.key], size, count, out, notes)
-            continue
-        said = pair(x)
-        if said is None or (x.kind == "object" and not x.items):
-            continue
-        if buffer and count("\n\n".join([title, *buffer, said])) > size:
-            flush()
-        buffer.append(said)
-    flush()
-
-
-def emit_array(v: Value, path: list[str], size: int, count: Count, out: list[str], lead: str) -> None:
-    base = "## " + " -> ".join(path) + " -> " if path else "## "
-    batch: list[str] = []
-    first = 0
-
-    def add(title: str, body: str) -> None:
-        nonlocal lead
-        out.append((f"{lead}\n\n" if lead else "") + f"{title}\n\n{body}")
-        lead = ""
-
-    def flush(last: int) -> None:
-        nonlocal batch
-        if batch:
-            add(f"{base}Item {first}" if first == last else f"{base}Items {first}-{last}", "\n".join(batch))
-        batch = []
-
-    for i, x in enumerate(v.items, 1):
-        if x.kind == "object":
-            flush(i - 1)
-            add(f"{base}Item {i}", "\n".join(p for p in map(pair, x.items) if p))
-            continue
-        said = unquote(x.raw)
-        if batch and count("\n".join([base, *batch, said])) > size:
-            flush(i - 1)
-        if not batch:
-            first = i
-        batch.append(said)
-    flush(len(v.items))
+def element(v: Value) -> str:
+    if v.kind == "object":
+        return "\n".join(f for f in map(field, v.items) if f) or "{}"
+    return unquote(v.raw)
+
+
+def packed(items: list[tuple[int, str, bool]], title, size: int, count: Count) -> list[str]:
+    """Chunks of ``(number, text, alone)`` below ``title(first, last)``, as many as fit, by blank lines."""
+    out: list[str] = []
+    batch: list[tuple[int, str]] = []
+
+    def text(b: list[tuple[int, str]]) -> str:
+        return "\n\n".join([title(b[0][0], b[-1][0]), *(t for _, t in b)])
+
+    for number, said, alone in items:
+        if batch and (alone or count(text([*batch, (number, said)])) > size):
+            out.append(text(batch))
+            batch = []
+        batch.append((number, said))
+        if alone:
+            out.append(text(batch))
+            batch = []
+    return [*out, text(batch)] if batch else out

@@ -27,9 +27,15 @@ def test_csv():
 
 
 def test_jsonc():
-    got = tabular.jsonc_chunks('// top\n{"a": 1, // tail\n "b": {"c": [1,2], "d": "x\\n"}, "e": [{"k":1},{"k":2}], "f": [],}', 50, word_count)
-    assert got[0] == "top\n\n##\n\ntail\n**a**: 1" and got[1].startswith("## b\n\n**c**: 1, 2") and [g.split("\n")[0] for g in got[2:]] == ["## e -> Item 1", "## e -> Item 2"]
-    assert tabular.jsonc_chunks("[1, 2, 3]", 100, word_count) == ["## Items 1-3\n\n1\n2\n3"] and tabular.jsonc_chunks("5", 9, word_count) == []
+    got = tabular.jsonc_chunks('// top\n{"a": 1, // tail\n "b": {"c": [1,2],\n /* of */ "d": "x\\n\\\\n"},\n /* list\n * of */ "e": [{"k":1, "o": {"p": [1]}, "n": []},{"k":2}], "f": [], "g": {}}', 50, word_count)
+    assert got == [
+        "top\n\n##\n\n**a**: 1 - tail", "top\n\n## b -> c -> Items 1-2\n\n1\n\n2", "top\n\n## b\n\nof\n**d**: x\n\\n",
+        'top\n\nlist of\n\n## e -> Item 1\n\n**k**: 1\n**o**:\n```json\n{"p": [1]}\n```', "top\n\n## e -> Item 2\n\n**k**: 2",
+    ]
+    assert tabular.jsonc_chunks("[1, 2, 3]", 100, word_count) == ["## Items 1-3\n\n1\n\n2\n\n3"] and tabular.jsonc_chunks("5", 9, word_count) == [] and tabular.jsonc_chunks("[{}]", 9, word_count) == ["## Item 1\n\n{}"]
+    assert tabular.jsonc_chunks('[{"m": [1, {"a": [2]}], "s": [{"a": "x", "b": {"c": 1}}, {"a": 2}]}]', 99, word_count) == ['## Item 1\n\n**m**:\n```json\n[1, {"a": [2]}]\n```\n**s**: a: x, b: {"c": 1}; a: 2']
+    small = tabular.jsonc_chunks('{"a": "one two three four five six", "b": "x", "c": "y"}', 6, word_count)
+    assert small == ["##\n\n**a**: one two three four five six", "##\n\n**b**: x\n\n**c**: y"]
     with pytest.raises(ValueError):
         tabular.jsonc_chunks('{"a": }', 9, word_count)
     assert tabular.jsonl_objects('{"a":1}\nbad\n\n2') == [{"a": 1}, 2]
