@@ -1,85 +1,78 @@
-"""Structure of Markdown-like text: headings with their paths (native windows) and layout blocks (a Python fold)."""
+"""Structure of Markdown-like text: heading sections with their paths, and layout blocks. Both are folds over one text."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEADING = r"^(#{1,6})\s+(.+)$"
 
 
-def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(<id>, pos, line)``: lines of each text from 0; null texts have none."""
-    rows = df.select(id_col, F.posexplode(F.split(F.replace(F.col(text_col), F.lit("\r\n"), F.lit("\n")), "\n")).alias("pos", "line"))
-    return rows.where(F.col(id_col).isNotNull())
+MARKER = re.compile(HEADING, re.A)
 
 
-def heading_sections(df: DataFrame, id_col: str, text_col: str, marker: str = HEADING, levels: int = 6) -> DataFrame:
+def sections(text: str) -> list[tuple[int, int | None, str | None, list[str], str]]:
+    """``(section, level, title, path, body)`` of every heading section of a text that holds text, in order.
+
+    Every heading line opens a section, inside code fences too. The path holds the headings above that no later heading
+    of the same or a smaller level has ended. Text before the first heading is section 0 without heading."""
+    out: list = []
+    stack: list[tuple[int, str]] = []
+    lines: list[str] = []
+    number = 0
+
+    def close() -> None:
+        body = "\n".join(lines).strip(" \t\n\r\f\v")
+        lines.clear()
+        if body:
+            level, title = stack[-1] if number else (None, None)
+            out.append((number, level, title, [t for _, t in stack], body))
+
+    for line in text.replace("\r\n", "\n").split("\n"):
+        m = MARKER.match(line)
+        if not m:
+            lines.append(line)
+            continue
+        close()
+        level = len(m.group(1))
+        while stack and stack[-1][0] >= level:
+            stack.pop()
+        stack.append((level, m.group(2).strip(" ")))
+        number += 1
+    close()
+    return out
+
+
+def heading_sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(<id>, section, heading_level, heading_title, heading_path, body)``: one row per heading section with text.
 
-    Every line that matches ``marker`` (group 1: its length is the level, group 2: the title) opens a section, inside
-    code fences too. The path holds, per level, the last heading that no later heading of a smaller level has ended:
-    level k is alive if its last position lies behind the last position of every level above it. All of it is windows
-    over the exploded lines of one text, so texts are independent of one another. Text before the first heading is
-    section 0 without heading. Bodies are trimmed; empty ones give no row.
+    Each text is cut where it lies, over Arrow batches: no line is shuffled and texts are independent of one another.
+    Bodies are trimmed; empty ones, null texts and null ids give no row. See :func:`sections`.
     """
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines_of(df, id_col, text_col)
-    mark = F.regexp_extract("line", marker, 1)
-    rows = rows.withColumn("level", F.when(F.length(mark) > 0, F.length(mark))).withColumn("title", F.trim(F.regexp_extract("line", marker, 2)))
-    rows = rows.withColumn("section", F.count("level").over(w))
-    heads = rows.where(F.col("level").isNotNull()).select(id_col, "pos", "section", "level", "title")
-    hw = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    at, last = {}, {}
-    for k in range(1, levels + 1):
-        at[k] = F.max(F.when(F.col("level") == k, F.col("pos"))).over(hw)
-        last[k] = F.last(F.when(F.col("level") == k, F.col("title")), ignorenulls=True).over(hw)
-    heads = heads.withColumns({f"p{k}": at[k] for k in at} | {f"t{k}": last[k] for k in last})
-    path = []
-    for k in range(1, levels + 1):
-        above = F.greatest(F.lit(-1), *[F.coalesce(F.col(f"p{j}"), F.lit(-1)) for j in range(1, k)]) if k > 1 else F.lit(-1)
-        path.append(F.when(F.col(f"p{k}") > above, F.col(f"t{k}")))
-    heads = heads.select(id_col, "section", "level", "title", F.filter(F.array(*path), lambda x: x.isNotNull()).alias("path"))
-    body = rows.where("level IS NULL").groupBy(id_col, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    body = body.withColumn("body", F.regexp_replace("body", r"\A\s+|\s+\z", "")).where(F.length("body") > 0)
-    out = body.join(heads, [id_col, "section"], "left")
-    return out.select(id_col, F.col("section").cast("bigint").alias("section"), F.col("level").alias("heading_level"), F.col("title").alias("heading_title"), F.coalesce("path", F.array().cast("array<string>")).alias("heading_path"), "body")
-
-
-#: One kind per line where no fence is open; the strongest first.
-KINDS = (("fence", r"^(`{3,}|~{3,})"), ("table", r"\|"), ("bullets", r"^([-*+] |\d+\. )"), ("quote", r"^>( |$)"), ("rule", r"^\s*(-{3,}|_{3,}|\*{3,})\s*$"), ("blank", r"^\s*$"))
-
-
-def line_kind(line="line"):
-    """Kind of a line by itself: fence, table, bullets, quote, rule, blank or paragraph."""
-    out = None
-    for kind, pattern in KINDS:
-        test = F.col(line).rlike(pattern)
-        out = F.when(test, kind) if out is None else out.when(test, kind)
-    return out.otherwise("paragraph")
-
-
-def line_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(<id>, block, kind, first_pos, n_lines)`` of texts without fences: runs of lines of one kind; blanks separate."""
-    rows = lines_of(df, id_col, text_col).withColumn("kind", line_kind())
-    w = Window.partitionBy(id_col).orderBy("pos")
-    before = F.lag("kind").over(w)
-    fresh = (F.col("kind") != F.coalesce(before, F.lit(""))) | F.col("kind").isin("rule")
-    rows = rows.withColumn("block", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.where("kind <> 'blank'").groupBy(id_col, "block", "kind").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_lines")).drop("block")
+    def run(frames):
+        for pdf in frames:
+            rows = [(i, *s) for i, t in zip(pdf["id"], pdf["text"]) for s in sections(t)]
+            got = pd.DataFrame(rows, columns=["id", "section", "heading_level", "heading_title", "heading_path", "body"])
+            yield got.astype({"heading_level": "Int32"})
+
+    kind = dict(df.dtypes)[id_col]
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    return src.mapInPandas(run, f"id {kind}, section bigint, heading_level int, heading_title string, heading_path array<string>, body string").withColumnRenamed("id", id_col)
 
 
+#: What a line of each kind of Markdown block begins with or holds.
 FENCE_LINE, TABLE_LINE = re.compile(r"^(`{3,}|~{3,})"), re.compile(r"\|")
-BULLET_LINE, QUOTE_LINE = re.compile(r"^([-*+] |\d+\. )"), re.compile(r"^>( |$)|^> ")
+BULLET_LINE, QUOTE_LINE = re.compile(r"^([-*+] |\d+\. )"), re.compile(r"^>( |$)")
 RULE_LINE = re.compile(r"^(-{3,}|_{3,}|\*{3,})$")
 
 
 def layout_blocks(text: str, strict: bool = True) -> list[tuple[str, str, list[str]]]:
     """Layout blocks ``(kind, text, items)`` of a text, in order.
 
-    With ``strict`` a fence ends only at a line that begins with the same run *and* differs from the opening line, so a
+    With ``strict`` a fence ends only at a line that begins with the same run *and*, blanks aside, differs from the opening line, so a
     bare fence is not closed by a bare fence; without it any such line closes. An unclosed fence runs to the end.
     """
     lines = text.replace("\r\n", "\n").split("\n")
@@ -102,7 +95,7 @@ def layout_blocks(text: str, strict: bool = True) -> list[tuple[str, str, list[s
         j = i + 1
         if kind == "fence":
             run = FENCE_LINE.match(lines[i]).group(1)
-            while j < len(lines) and not (lines[j].startswith(run) and (not strict or lines[j] != lines[i])):
+            while j < len(lines) and not (lines[j].startswith(run) and (not strict or lines[j].strip() != lines[i].strip())):
                 j += 1
             j = min(len(lines), j + 1)
         elif kind in ("table", "bullets", "quote"):

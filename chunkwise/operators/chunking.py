@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chunkwise.functions.tokens import bpe_counter, counter
 from chunkwise.functions.text import strip_front_matter
-from chunkwise.operators.blocks import heading_sections, layout_blocks
+from chunkwise.operators.blocks import layout_blocks, sections
 
 Count = Callable[[str], int]
 
@@ -156,38 +156,33 @@ def table_chunks_native(df: DataFrame, group: list[str], order: list[str], colum
 def to_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 1000, min_chars: int = 200, tokens: str = "bpe", strict: bool = True) -> DataFrame:
     """``(<id>, chunk_index, heading_title, heading_level, heading_path, chunk)`` of Markdown texts.
 
-    Front matter is removed, sections are cut at headings by native windows, and each section is packed to ``size``
+    Front matter is removed, sections are cut at headings, and each section is packed to ``size``
     tokens (``bpe``: public byte-pair vocabulary, ``words``: white space). A text without any heading section is split by
     tokens alone. Null, empty and blank texts give no chunk; chunk indexes are dense from 0 in reading order.
     """
     src = df.select(F.col(id_col), strip_front_matter(text_col).alias("_text")).where(F.length(F.trim("_text")) > 0)
-    sections = heading_sections(src, id_col, "_text")
     kind = dict(df.dtypes)[id_col]
 
     def run(frames):
         count, split = counter(tokens), splitter(tokens)
         for pdf in frames:
             rows = []
-            for key, parts in zip(pdf["id"], pdf["parts"]):
+            for key, text in zip(pdf["id"], pdf["text"]):
                 index = 0
-                only = len(parts) == 1 and parts[0]["heading_level"] is None
-                for p in parts:
-                    level, title = p["heading_level"], p["heading_title"]
-                    none = level is None or pd.isna(level)
-                    prefix = "" if none else "#" * int(level) + " " + title
-                    if only or (none and len(parts) == 1):
-                        pieces = token_split(p["body"], size, min_chars, 5) if tokens == "bpe" else word_split(p["body"], size)
+                parts = sections(text)
+                for _, level, title, path, body in parts:
+                    if level is None and len(parts) == 1:
+                        pieces = token_split(body, size, min_chars, 5) if tokens == "bpe" else word_split(body, size)
                     else:
-                        pieces = pack_section(p["body"], prefix, size, count, split, strict)
+                        pieces = pack_section(body, "#" * level + " " + title if level else "", size, count, split, strict)
                     for x in pieces:
-                        rows.append((key, index, None if none else title, None if none else int(level), list(p["heading_path"]), x))
+                        rows.append((key, index, title, level, path, x))
                         index += 1
             out = pd.DataFrame(rows, columns=["id", "chunk_index", "heading_title", "heading_level", "heading_path", "chunk"])
             out["heading_level"] = out["heading_level"].astype("Int32")
             yield out
 
-    part = F.struct("section", "heading_level", "heading_title", "heading_path", "body")
-    whole = sections.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    whole = src.select(F.col(id_col).alias("id"), F.col("_text").alias("text")).where("id IS NOT NULL")
     got = whole.mapInPandas(run, f"id {kind}, chunk_index int, heading_title string, heading_level int, heading_path array<string>, chunk string")
     return got.withColumnRenamed("id", id_col)
 

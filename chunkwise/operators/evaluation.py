@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkwise.functions.text import safe_file_name
+from chunkwise.functions.text import file_name, hit, safe_file_name
 
 #: Roles of scenario documents.
 ROLES = ("relevant", "distractor", "hard_negative")
@@ -119,6 +119,67 @@ def load_scenarios(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
     )
 
 
+def evaluate(spark: SparkSession, root: str, work: str, k: int = 3, mode: str = "hybrid", size: int = 1000, tokens: str = "bpe", embedder=None, rerank: bool = False) -> dict[str, DataFrame]:
+    """Ingest the documents of every scenario below ``root``, ask its questions and measure what comes back.
+
+    Each scenario has a store of its own below ``work``, so scenarios do not disturb one another; their number is that of
+    the folders. A result is a hit if its text holds one of the phrases the question names or, where it names none, if its
+    file is an expected source. Gives ``questions``, ``scenarios``, ``overall`` and ``verdict`` as tables.
+    """
+    from chunkwise.operators.store import Store
+
+    documents, questions, limits = load_scenarios(spark, root)
+    asked = with_hard_negatives(questions, documents).withColumn("query_id", F.concat_ws("/", "scenario", "query_id"))
+    found = []
+    for name, folder in scenario_folders(root):
+        store = Store(spark, f"{work.rstrip('/')}/{name}")
+        listed = documents.where(F.col("scenario") == name).select("file").collect()  # the files of one list
+        store.ingest_paths([os.path.join(folder, r["file"]) for r in listed], size, tokens, embedder=embedder)
+        found.append(store.search(asked.where(F.col("scenario") == name), k, mode, rerank=rerank, embedder=embedder).select("query_id", "rank", "source", "content"))
+    results = found[0] if found else spark.createDataFrame([], "query_id string, rank int, source string, content string")
+    for more in found[1:]:
+        results = results.unionByName(more)
+    judged = results.join(asked.select("query_id", "expected_sources", "phrases"), "query_id")
+    judged = judged.select("query_id", "rank", hit(file_name("source"), "content", "expected_sources", "phrases").alias("hit"))
+    per = question_metrics(judged, asked, k)
+    metrics = scenario_metrics(per)
+    return {"questions": per, "scenarios": metrics, "overall": overall(metrics), "verdict": verdict(metrics, limits)}
+
+
+def scenario_folders(root: str) -> list[tuple[str, str]]:
+    return [(os.path.basename(folder), folder) for folder, _, files in sorted(os.walk(root)) if "questions.yaml" in files]
+
+
+#: Public benchmark collections by the names they are published under, with documents and questions (about).
+BEIR = (
+    ("nfcorpus", 3633, 323), ("scifact", 5183, 300), ("fiqa", 57638, 648), ("arguana", 8674, 1406), ("trec-covid", 171332, 50), ("webis-touche2020", 382545, 49),
+    ("dbpedia-entity", 4635922, 400), ("scidocs", 25657, 1000), ("fever", 5416568, 6666), ("hotpotqa", 5233329, 7405),
+)
+
+
+def beir_registry(spark: SparkSession) -> DataFrame:
+    """``(name, documents, questions)`` of the collections that can be converted."""
+    return spark.createDataFrame(BEIR, "name string, documents bigint, questions bigint")
+
+
+def write_scenario(corpus: DataFrame, docs: DataFrame, questions: DataFrame, folder: str) -> None:
+    """Write a converted benchmark as a scenario: a text file per sampled document and ``questions.yaml``.
+
+    Takes what :func:`beir_convert` gives, which is bounded by its numbers of questions and distractors and the judged
+    documents of those questions. Titles stand above their texts."""
+    import yaml
+
+    os.makedirs(folder, exist_ok=True)
+    listed = []
+    for r in docs.join(corpus, "doc_id").orderBy("role", "file").collect():
+        with open(os.path.join(folder, r["file"]), "w", encoding="utf-8") as f:
+            f.write("\n\n".join(x for x in (r["title"], r["text"]) if x))
+        listed.append({"file": r["file"], "role": r["role"]})
+    asked = [{"id": r["query_id"], "question": r["question"], "expected_sources": list(r["expected_sources"])} for r in questions.orderBy("query_id").collect()]
+    with open(os.path.join(folder, "questions.yaml"), "w", encoding="utf-8") as f:
+        yaml.safe_dump({"documents": listed, "questions": asked}, f, allow_unicode=True, sort_keys=False)
+
+
 def with_hard_negatives(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """``questions`` with ``hard_negative``: one of the expected sources stands for a hard negative of the scenario."""
     hard = documents.where("role = 'hard_negative'").groupBy("scenario").agg(F.collect_set("file").alias("_hard"))

@@ -58,8 +58,9 @@ def binary_strip(spark, d):
 
 def read_document_files(spark, d):
     """Chunks of every document read as a file of its format, by status and reader."""
-    f = _docs(spark, d).select(F.col("path").alias("source"), tx.extension("path").alias("ext"), F.encode("text", "UTF-8").alias("content"))
-    return files.read_files(f.where("source IS NOT NULL"), 200, "words")
+    source = F.coalesce("path", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    f = _docs(spark, d).select(source.alias("source"), tx.extension("path").alias("ext"), F.encode("text", "UTF-8").alias("content"))
+    return files.read_files(f, 200, "words")
 
 
 def to_document(spark, d):
@@ -142,7 +143,14 @@ def code_declarations(spark, d):
 
 
 def code_chunks(spark, d):
-    return _each(_docs(spark, d, "code"), lambda i, t: [(i, n, c["type"], c["name"], c["chunk"]) for n, c in enumerate(code.code_chunks(t, "kotlin", 120))], "doc_id bigint, chunk_index int, type string, name string, chunk string")
+    """Chunks of all code documents, read in the language of their path (Kotlin where it tells none)."""
+    def run(frames):
+        for p in frames:
+            rows = [(i, n, c["type"], c["name"], c["chunk"]) for i, e, t in zip(p["doc_id"], p["ext"], p["text"]) for n, c in enumerate(code.code_chunks(t, code.LANGUAGES.get(e, "kotlin"), 120))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "type", "name", "chunk"])
+
+    src = _docs(spark, d, "code").select("doc_id", F.coalesce(tx.extension("path"), F.lit("")).alias("ext"), "text")
+    return src.mapInPandas(run, "doc_id bigint, chunk_index int, type string, name string, chunk string")
 
 
 def declaration_stats(spark, d):
@@ -212,7 +220,7 @@ def lenient_numbers(spark, d):
 
 
 def word_counts(spark, d):
-    return _docs(spark, d).select("doc_id", tx.plain_token_count("text").cast("bigint").alias("n"), F.left("text", F.lit(60)).alias("preview"))
+    return _docs(spark, d).select("doc_id", tx.plain_token_count("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("digest"))
 
 
 def path_parts(spark, d):
@@ -309,6 +317,8 @@ REFS = f"SELECT query_id, string_agg(source || ' (score: ' || score || ')' || {N
 REFS_JSON = "SELECT query_id, string_agg('{\"path\": \"' || " + JSON.format("source") + " || '\", \"score\": ' || score || ', \"excerpt\": \"' || " + JSON.format("coalesce(substring(content, 1, 200), '')") + f" || '\"}}', ',' || {NL} || '    ' ORDER BY rank) AS body FROM {RES} GROUP BY 1"
 LISTED = f"(SELECT *, row_number() OVER (PARTITION BY source ORDER BY chunk_index, chunk_id) AS no, CASE WHEN len(heading_path) > 0 THEN array_to_string(heading_path, ' > ') END AS hp FROM ({CHUNKS}) WHERE source IS NOT NULL AND chunk_index IS NOT NULL)"
 SQL = {
+    "binary_strip": f"SELECT doc_id, sha256(array_to_string(regexp_extract_all(decode(encode(text)), '[\\x20-\\x7E\\t\\n\\r]{{4,}}'), {NL})) AS digest FROM {DOCS}",
+    "csv_rows": f"SELECT doc_id, len(rows)::BIGINT - 1 AS n_rows, len(string_split(regexp_replace(rows[1], '\"[^\"]*\"', '', 'g'), ','))::BIGINT AS n_columns FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '\"[^\"]*\"', 'q', 'g'), {NL}), x -> trim(x) <> '') AS rows FROM {DOCS} WHERE fmt = 'csv') WHERE len(rows) > 0",
     "reader_routing": f"SELECT doc_id, ext, {READER} AS reader FROM (SELECT doc_id, {EXT.format('path')} AS ext FROM documents)",
     "content_type_routing": "SELECT CASE WHEN fmt = 'html' THEN 'html' WHEN fmt = 'txt' THEN 'plain' ELSE 'sniff' END AS reader, count(*) AS n FROM documents GROUP BY 1",
     "binary_detect": f"SELECT doc_id, doc_id % 3 = 0 OR (doc_id % 3 = 2 AND contains(left(text, 8192), chr(0))) AS is_binary FROM {DOCS}",
@@ -326,7 +336,7 @@ SQL = {
     "iso_times": "SELECT doc_id, strftime(make_timestamp(mtime * 1000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM documents WHERE mtime IS NOT NULL",
     "sizes_shown": "SELECT scan_id, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN (size_bytes // 1024) || ' KB' ELSE (size_bytes // 1048576) || ' MB' END AS shown FROM source_scan WHERE size_bytes IS NOT NULL",
     "lenient_numbers": "SELECT doc_id, try_cast(regexp_extract(path, '([0-9]+)[^/]*$', 1) AS BIGINT) AS n FROM documents WHERE path IS NOT NULL",
-    "word_counts": f"SELECT doc_id, len(regexp_split_to_array(text, '\\s+'))::BIGINT AS n, left(text, 60) AS preview FROM {DOCS}",
+    "word_counts": f"SELECT doc_id, len(regexp_split_to_array(text, '\\s+'))::BIGINT AS n, sha256(text) AS digest FROM {DOCS}",
     "path_parts": f"SELECT source, string_split(source, '/')[-1] AS file, {EXT.format('source')} AS ext FROM (SELECT DISTINCT source FROM chunks WHERE source IS NOT NULL)",
     "heading_path_json": f"SELECT chunk_id, to_json(heading_path)::VARCHAR AS js, len(heading_path) AS n FROM ({CHUNKS}) WHERE heading_path IS NOT NULL",
     "format_text": f"SELECT query_id, string_agg('[' || rank || '] score=' || printf('%.2f', score) || '  source=' || source || '  chunk=' || chunk_index || {NL} || coalesce(content, ''), {NL} || {NL} ORDER BY rank) AS out FROM {RES} GROUP BY 1",

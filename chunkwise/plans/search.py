@@ -41,13 +41,13 @@ def bm25_question_terms(spark, d):
 
 def analyzer_standard(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", F.size(tokens.standard("text")).cast("bigint").alias("n_tokens"), F.array_join(F.slice(tokens.standard("text"), 1, 8), " ").alias("first_tokens"))
+    return docs.select("doc_id", F.size(tokens.standard("text")).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(tokens.standard("text"), " "), 256).alias("digest"))
 
 
 def analyzer_english(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL")
     words = tokens.english_words("text")
-    return docs.select("doc_id", F.size(words).cast("bigint").alias("n_tokens"), F.array_join(F.slice(words, 1, 8), " ").alias("first_tokens"))
+    return docs.select("doc_id", F.size(words).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(words, " "), 256).alias("digest"))
 
 
 def analyzer_english_stems(spark, d):
@@ -229,8 +229,8 @@ SQL = {
     "bm25_term_stats": "WITH " + DOCS.replace("@where@", "") + " SELECT term, count(DISTINCT chunk_id) AS df, count(*)::BIGINT AS cf FROM (SELECT chunk_id, unnest(terms) AS term FROM docs) GROUP BY 1",
     "bm25_corpus_stats": "WITH " + DOCS.replace("@where@", "") + " SELECT count(*) AS n, round(avg(dl), 6) AS avgdl FROM docs",
     "bm25_question_terms": "SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(" + TERMS.format("question") + ") AS term FROM queries) GROUP BY 1, 2",
-    "analyzer_standard": "SELECT doc_id, len(" + TERMS.format("text") + ")::BIGINT AS n_tokens, array_to_string((" + TERMS.format("text") + ")[1:8], ' ') AS first_tokens FROM documents WHERE text IS NOT NULL",
-    "analyzer_english": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, array_to_string(t[1:8], ' ') AS first_tokens FROM (SELECT doc_id, {ENGLISH} AS t FROM documents WHERE text IS NOT NULL)",
+    "analyzer_standard": "SELECT doc_id, len(" + TERMS.format("text") + ")::BIGINT AS n_tokens, sha256(array_to_string(" + TERMS.format("text") + ", ' ')) AS digest FROM documents WHERE text IS NOT NULL",
+    "analyzer_english": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, sha256(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {ENGLISH} AS t FROM documents WHERE text IS NOT NULL)",
     "knn_topk": f"SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ({KNN_CHUNKS}) WHERE rank <= 5",
     "knn_min_score": f"SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ({KNN_CHUNKS}) WHERE rank <= 10 AND score >= 0.75",
     "knn_embeddings": "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (" + KNN.format(id="vec_id", qv="qvec", v="embedding", q="(SELECT vec_id AS query_id, embedding AS qvec FROM embeddings WHERE vec_id % 50 = 0)", c="embeddings") + ") WHERE rank <= 4",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from chunkwise.functions import text as tx
@@ -31,19 +32,13 @@ def front_matter_strip(spark, d):
 
 
 def layout_block_kinds(spark, d):
-    plain = _docs(spark, d).where(~F.col("text").rlike(r"(?m)^(`{3,}|~{3,})"))
-    return blocks.line_blocks(plain, "doc_id", "text").select("doc_id", F.col("first_pos").cast("bigint").alias("first_pos"), "kind", "n_lines")
-
-
-def layout_blocks_exact(spark, d):
-    """Fence-aware blocks of every document, by kind."""
+    """Fence-aware blocks of every document, in order."""
     def run(frames):
-        import pandas as pd
-
         for pdf in frames:
-            yield pd.DataFrame([(i, n, k, len(t)) for i, x in zip(pdf["doc_id"], pdf["text"]) for n, (k, t, _) in enumerate(blocks.layout_blocks(x))], columns=["doc_id", "block", "kind", "n_chars"])
+            rows = [(i, n, k, t.count("\n") + 1, len(t)) for i, x in zip(pdf["doc_id"], pdf["text"]) for n, (k, t, _) in enumerate(blocks.layout_blocks(x))]
+            yield pd.DataFrame(rows, columns=["doc_id", "block", "kind", "n_lines", "n_chars"])
 
-    return _docs(spark, d).select("doc_id", "text").mapInPandas(run, "doc_id bigint, block int, kind string, n_chars int")
+    return _docs(spark, d).select("doc_id", "text").mapInPandas(run, "doc_id bigint, block int, kind string, n_lines int, n_chars int")
 
 
 def token_window_chunks(spark, d):
@@ -91,7 +86,7 @@ def asciidoc_code_fences(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(tx.asciidoc_fences(made), 256).alias("digest"))
 
 
-NAMES = (heading_path_split, chunk_heading_sections, front_matter_strip, layout_block_kinds, layout_blocks_exact, token_window_chunks, overlap_window_chunks, greedy_pack_chunks, table_chunks_nation, table_chunks_orders, markdown_bpe_chunks, markdown_word_chunks, heading_prefix, asciidoc_code_fences)
+NAMES = (heading_path_split, chunk_heading_sections, front_matter_strip, layout_block_kinds, token_window_chunks, overlap_window_chunks, greedy_pack_chunks, table_chunks_nation, table_chunks_orders, markdown_bpe_chunks, markdown_word_chunks, heading_prefix, asciidoc_code_fences)
 QUERIES = {f.__name__: f for f in NAMES}
 
 HEADS = r"""
@@ -137,7 +132,6 @@ SQL = {
     "heading_path_split": HEADS.format(src="SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL") + "SELECT b.id AS doc_id, b.section, h.lv::INT AS heading_level, h.title AS heading_title, coalesce(p.path, '') AS path, length(b.body) AS n_chars FROM b LEFT JOIN h USING (id, section) LEFT JOIN p USING (id, section) WHERE length(b.body) > 0",
     "chunk_heading_sections": HEADS.format(src="SELECT DISTINCT chunk_id AS id, content AS text FROM chunks WHERE content IS NOT NULL") + "SELECT b.id AS chunk_id, count(*) AS sections, max(h.lv)::INT AS deepest FROM b LEFT JOIN h USING (id, section) WHERE length(b.body) > 0 GROUP BY 1",
     "front_matter_strip": "SELECT doc_id, sha256(regexp_replace(text, '\\A\\s+', '')) AS digest FROM documents WHERE text IS NOT NULL",
-    "layout_block_kinds": "WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?m)^(`{3,}|~{3,})'))), k AS (SELECT doc_id, pos, " + PLAIN_KIND + " AS kind FROM l), f AS (SELECT *, (kind <> coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY pos), '') OR kind = 'rule')::INT AS fresh FROM k), b AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS blk FROM f) SELECT doc_id, min(pos) AS first_pos, kind, count(*) AS n_lines FROM b WHERE kind <> 'blank' GROUP BY doc_id, blk, kind",
     "token_window_chunks": _windows(100, 0),
     "overlap_window_chunks": _windows(100, 20),
     "greedy_pack_chunks": _pack(LINE_ROWS, 60) + "SELECT id AS doc_id, chunk_index, sha256(body) AS digest FROM packed",

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import http.client
 import os
+import re
 import urllib.error
 import urllib.request
+import warnings
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from chunkwise.functions import text as tx
 from chunkwise.functions.tokens import counter
+from chunkwise.operators.blocks import sections
 from chunkwise.operators.chunking import pack_section, splitter, token_split, word_split
 from chunkwise.sources import code, html, office, rst, tabular, xmldoc
 
@@ -47,7 +50,15 @@ def expand(paths: list[str]) -> tuple[list[str], list[str], list[str]]:
 
 
 def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(source, kind, mtime, ext, content)`` of all regular files below the paths, content as bytes."""
+    """``(source, kind, mtime, ext, content)`` of all regular files below the paths, content as bytes.
+
+    Local paths that are not there are left out with a warning; nothing is read where none is there."""
+    there, _, missing = expand([p for p in paths if "://" not in p])
+    for p in missing:
+        warnings.warn(f"no such file or folder: {p}", stacklevel=2)
+    paths = [*there, *(p for p in paths if "://" in p)]
+    if not paths:
+        return spark.createDataFrame([], "source string, kind string, mtime bigint, ext string, content binary")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     source = F.regexp_replace("path", "^file:(//)?", "")
     return df.select(source.alias("source"), F.lit("file").alias("kind"), F.unix_millis("modificationTime").alias("mtime"), tx.extension(source).alias("ext"), "content")
@@ -104,8 +115,6 @@ class Unreadable(Exception):
 
 def read_bytes(data: bytes, reader: str, ext: str, size: int, tokens: str = "words") -> list[dict]:
     """Chunks ``{chunk, heading_title, heading_level, heading_path}`` of one file; errors name what is wrong."""
-    from chunkwise.operators.blocks import HEADING
-
     count, split = counter(tokens), splitter(tokens)
 
     def plain(text: str) -> list[dict]:
@@ -113,36 +122,15 @@ def read_bytes(data: bytes, reader: str, ext: str, size: int, tokens: str = "wor
         return [{"chunk": p, "heading_title": None, "heading_level": None, "heading_path": []} for p in pieces]
 
     def markdown(text: str) -> list[dict]:
-        import re
-
         text = re.sub(r"(?s)\A\s*---.*?\n---[^\n]*(\n|\Z)\s*", "", text)
-        out: list[dict] = []
-        stack: list[tuple[int, str]] = []
-        body: list[str] = []
-        seen = False
-
-        def close() -> None:
-            said = "\n".join(body).strip()
-            body.clear()
-            if not said:
-                return
-            level, title = stack[-1] if stack else (None, None)
-            prefix = "#" * level + " " + title if stack else ""
-            for p in pack_section(said, prefix, size, count, split):
-                out.append({"chunk": p, "heading_title": title, "heading_level": level, "heading_path": [t for _, t in stack]})
-
-        for line in text.replace("\r\n", "\n").split("\n"):
-            m = re.match(HEADING, line)
-            if not m:
-                body.append(line)
-                continue
-            close()
-            seen = True
-            while stack and stack[-1][0] >= len(m.group(1)):
-                stack.pop()
-            stack.append((len(m.group(1)), m.group(2).strip()))
-        close()
-        return out if seen and out else plain(text)
+        parts = sections(text)
+        if all(level is None for _, level, *_ in parts):
+            return plain(text)
+        out = []
+        for _, level, title, path, body in parts:
+            for p in pack_section(body, "#" * level + " " + title if level else "", size, count, split):
+                out.append({"chunk": p, "heading_title": title, "heading_level": level, "heading_path": path})
+        return out
 
     def whole(pieces: list[str]) -> list[dict]:
         return [{"chunk": p, "heading_title": None, "heading_level": None, "heading_path": []} for p in pieces]
@@ -182,7 +170,7 @@ def read_bytes(data: bytes, reader: str, ext: str, size: int, tokens: str = "wor
 
         return whole(tabular.jsonc_chunks(json.dumps(tabular.jsonl_objects(text), ensure_ascii=False), size, count))
     if reader == "code":
-        return [{"chunk": c["chunk"], "heading_title": c["name"], "heading_level": 2 if c["type"] == "CLASS" else 3, "heading_path": [c["name"]]} for c in code.code_chunks(text, code.LANGUAGES[ext], size, tokens)]
+        return [{"chunk": c["chunk"], "heading_title": c["name"], "heading_level": 2 if c["type"] == "CLASS" else 3, "heading_path": [*(c["class_name"].split(".") if c["class_name"] else []), c["name"].rsplit(".", 1)[-1]]} for c in code.code_chunks(text, code.LANGUAGES[ext], size, tokens)]
     return markdown(text) if reader == "markdown" else plain(text)
 
 

@@ -153,6 +153,26 @@ def test_metrics(spark):
     assert {x["scenario"]: x["status"] for x in v.collect()} == {"s": "FAIL mrr", "t": ""} and ev.any_failing(v).first()[0]
 
 
+def test_evaluate_end_to_end(spark, tmp_path):
+    texts = {
+        "rivers.md": "# Rivers\n\n## Source\n\nA river begins at a spring in the mountains.\n\n## Mouth\n\nIts mouth forms a delta by the sea.",
+        "bread.txt": "Bread dough rises because yeast makes gas. Bake the loaf in a hot oven.",
+        "noise.txt": "The parade passed the town hall at noon.",
+    }
+    for name, asked in (("one", [("where does a river begin", "rivers.md", ["spring"]), ("why does dough rise", "bread.txt", None)]), ("two", [("what forms a delta", "rivers.md", None), ("zebra quagga", "bread.txt", None)])):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        for file, text in texts.items():
+            (tmp_path / "in" / name / file).write_text(text)
+        lines = ["documents:", "- {file: rivers.md, role: relevant}", "- {file: bread.txt, role: hard_negative}", "- {file: noise.txt, role: distractor}", "questions:"]
+        for i, (q, source, phrases) in enumerate(asked):
+            lines += [f"- id: {i}", f"  question: {q}", f"  expected_sources: [{source}]"] + ([f"  expected_chunk_contains: {phrases}"] if phrases else [])
+        (tmp_path / "in" / name / "questions.yaml").write_text("\n".join([*lines, "thresholds: {recall_at_k: 0.8}"]))
+    got = ev.evaluate(spark, str(tmp_path / "in"), str(tmp_path / "work"), 3, "bm25", 60, "words")
+    rows = {r["scenario"]: r for r in got["scenarios"].collect()}
+    assert rows["one"]["recall"] == rows["one"]["mrr"] == 1.0 and rows["two"]["recall"] == 0.5 and rows["one"]["hn_recall"] == 1.0
+    assert {r["scenario"]: r["status"] for r in got["verdict"].collect()} == {"one": "PASS", "two": "FAIL recall"} and got["overall"].first()["questions"] == 4
+
+
 def test_scenarios_and_beir(spark, tmp_path):
     d = tmp_path / "one"
     d.mkdir()
@@ -172,3 +192,7 @@ def test_scenarios_and_beir(spark, tmp_path):
     docs, questions = ev.beir_convert(corpus, queries, qrels)
     assert {(r["doc_id"], r["role"], r["file"]) for r in docs.collect()} == {("d/1", "relevant", "d_1.txt"), ("d2", "distractor", "d2.txt")}
     assert questions.first()["expected_sources"] == ["d_1.txt"]
+    ev.write_scenario(corpus, docs, questions, str(tmp_path / "out" / "beir"))
+    again, asked, _ = ev.load_scenarios(spark, str(tmp_path / "out"))
+    assert again.count() == 2 and asked.first()["question"] == "why" and (tmp_path / "out" / "beir" / "d_1.txt").read_text() == "t\n\nx"
+    assert ev.beir_registry(spark).count() == 10
