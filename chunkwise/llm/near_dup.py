@@ -168,7 +168,8 @@ def class_pairs(chunks: DataFrame, sigs: DataFrame, p: Params) -> DataFrame:
 def shingle_sets(chunks: DataFrame, sigs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
     """``(fp, sh)``: the shingles of the ``wanted`` sets, from the text of the first chunk that has them; a set comes
     again for each row that repeats the chunk."""
-    rep = sigs.select("fp", "chunk_id").join(wanted, "fp").groupBy("fp").agg(F.min("chunk_id").alias("chunk_id"))
+    rep = persist_table(sigs.select("fp", "chunk_id").join(wanted, "fp").groupBy("fp").agg(F.min("chunk_id").alias("chunk_id")), "near-dup-wanted")
+    rep = F.broadcast(rep) if rep.count() <= MOST_KEYS else rep  # else all texts would be shuffled for a few
     texts = chunks.select("chunk_id", "content").where("content IS NOT NULL").join(rep, "chunk_id").select("fp", "content")
 
     def tokens(frames):
