@@ -17,13 +17,17 @@ STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of
 
 def standard(text) -> Column:
     """Lower-case runs of letters, digits and underscores; null gives null."""
-    return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(lowered(text), F.lit(TOKEN), F.lit(0))
+
+
+def lowered(text) -> Column:
+    """Lower-case text in which a Greek sigma is the same letter wherever it stands in a word."""
+    return F.translate(F.lower(F.col(text) if isinstance(text, str) else text), "ς", "σ")
 
 
 def english_words(text) -> Column:
     """Standard tokens without possessive endings and stop words, not yet stemmed."""
-    c = F.lower(F.col(text) if isinstance(text, str) else text)
-    toks = F.regexp_extract_all(F.regexp_replace(c, r"['’]s\b", ""), F.lit(TOKEN), F.lit(0))
+    toks = F.regexp_extract_all(F.regexp_replace(lowered(text), r"['’]s\b", ""), F.lit(TOKEN), F.lit(0))
     return F.filter(toks, lambda t: ~t.isin(*STOP_WORDS))
 
 

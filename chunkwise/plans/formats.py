@@ -318,7 +318,7 @@ REFS_JSON = "SELECT query_id, string_agg('{\"path\": \"' || " + JSON.format("sou
 LISTED = f"(SELECT *, row_number() OVER (PARTITION BY source ORDER BY chunk_index, chunk_id) AS no, CASE WHEN len(heading_path) > 0 THEN array_to_string(heading_path, ' > ') END AS hp FROM ({CHUNKS}) WHERE source IS NOT NULL AND chunk_index IS NOT NULL)"
 SQL = {
     "binary_strip": f"SELECT doc_id, sha256(array_to_string(regexp_extract_all(decode(encode(text)), '[\\x20-\\x7E\\t\\n\\r]{{4,}}'), {NL})) AS digest FROM {DOCS}",
-    "csv_rows": f"SELECT doc_id, len(rows)::BIGINT - 1 AS n_rows, len(string_split(regexp_replace(rows[1], '\"[^\"]*\"', '', 'g'), ','))::BIGINT AS n_columns FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '\"[^\"]*\"', 'q', 'g'), {NL}), x -> trim(x) <> '') AS rows FROM {DOCS} WHERE fmt = 'csv') WHERE len(rows) > 0",
+    "csv_rows": f"SELECT doc_id, len(rows)::BIGINT - 1 AS n_rows, len(string_split(regexp_replace(rows[1], '\"[^\"]*\"', '', 'g'), ','))::BIGINT AS n_columns FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '\"[^\"]*\"', 'q', 'g'), {NL}), lambda x: trim(x) <> '') AS rows FROM {DOCS} WHERE fmt = 'csv') WHERE len(rows) > 0",
     "reader_routing": f"SELECT doc_id, ext, {READER} AS reader FROM (SELECT doc_id, {EXT.format('path')} AS ext FROM documents)",
     "content_type_routing": "SELECT CASE WHEN fmt = 'html' THEN 'html' WHEN fmt = 'txt' THEN 'plain' ELSE 'sniff' END AS reader, count(*) AS n FROM documents GROUP BY 1",
     "binary_detect": f"SELECT doc_id, doc_id % 3 = 0 OR (doc_id % 3 = 2 AND contains(left(text, 8192), chr(0))) AS is_binary FROM {DOCS}",

@@ -181,7 +181,7 @@ NAMES = (
 QUERIES = {f.__name__: f for f in NAMES}
 
 CHUNKS = "SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE chunk_id IS NOT NULL"
-TERMS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"  # a format string
+TERMS = r"regexp_extract_all(translate(lower({0}), 'ς', 'σ'), '[\p{{L}}\p{{N}}_]+')"  # a format string
 DOCS = "docs AS (SELECT chunk_id, terms, len(terms) AS dl FROM (SELECT chunk_id, " + TERMS.format("content") + " AS terms FROM (" + CHUNKS + ") WHERE content IS NOT NULL@where@) WHERE len(terms) > 0)"
 BM25 = (
     "WITH " + DOCS + ", stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM docs), "
@@ -219,7 +219,7 @@ FUSE = (
     "fused AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, left_rank NULLS LAST, right_rank NULLS LAST, chunk_id)::INT AS rank, chunk_id, round(score, 6) AS score, left_rank::INT AS left_rank, right_rank::INT AS right_rank FROM sc) "
 )
 STOP = ", ".join(f"'{w}'" for w in tokens.STOP_WORDS)
-ENGLISH = r"list_filter(regexp_extract_all(regexp_replace(lower(text), '[''’]s\b', '', 'g'), '[\p{L}\p{N}_]+'), lambda t: t NOT IN (" + STOP + "))"
+ENGLISH = r"list_filter(regexp_extract_all(regexp_replace(translate(lower(text), 'ς', 'σ'), '[''’]s\b', '', 'g'), '[\p{L}\p{N}_]+'), lambda t: t NOT IN (" + STOP + "))"
 RESULTS = f"SELECT r.query_id, r.rank, c.source, r.score, c.content FROM ({_ranked_sql('rerank', 3)}) r JOIN ({CHUNKS}) c USING (chunk_id)"
 CONTEXT = "SELECT query_id, string_agg('<document source=\"' || source || '\">' || chr(10) || coalesce(content, '') || chr(10) || '</document>', chr(10) || chr(10) ORDER BY rank) AS context FROM (" + RESULTS + ") WHERE source IS NOT NULL GROUP BY 1"
 
