@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MODES = ("bm25", "embedding", "rerank")
+#: Parts into which the items of a query are cut where they meet its figures, so that a hot query is not one key.
+SALT = 16
 
 
 def clean_scores(scores: DataFrame, modes=MODES) -> DataFrame:
@@ -49,14 +51,13 @@ def borda(scores: DataFrame, weights: dict[str, int] | None = None, buckets: int
     """
     weights = weights or {m: 1 for m in MODES}
     one = clean_scores(scores, tuple(weights))
-    items = one.select("query_id", "chunk_id").distinct()
-    n = items.groupBy("query_id").agg(F.count("*").alias("n"))
     present = one.where("score IS NOT NULL")
+    n = one.select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
     m = present.groupBy("query_id").pivot("search_mode", list(weights)).agg(F.count(F.lit(1)))
     m = m.select("query_id", *[F.coalesce(F.col(w), F.lit(0)).alias(f"m_{i}") for i, w in enumerate(weights)])
-    ranks = present.join(doubled_ranks(present, buckets), ["query_id", "search_mode", "score"])
-    wide = ranks.groupBy("query_id", "chunk_id").pivot("search_mode", list(weights)).agg(F.max("rank2"))
-    full = items.join(wide, ["query_id", "chunk_id"], "left").join(n.join(m, "query_id", "left"), "query_id")
+    sizes = n.join(m, "query_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    wide = one.join(doubled_ranks(present, buckets), ["query_id", "search_mode", "score"], "left").groupBy("query_id", "chunk_id").pivot("search_mode", list(weights)).agg(F.max("rank2"))
+    full = wide.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALT)).cast("int")).join(sizes, ["query_id", "salt"])
     total = F.lit(0)
     for i, (mode, weight) in enumerate(weights.items()):
         missing = F.coalesce(F.col(f"m_{i}"), F.lit(0)) + 1 + F.col("n")
