@@ -76,6 +76,8 @@ GROUP BY wid
 """
 
 LONG = 48
+#: Bytes from which a word is encoded in segments, and half the width of the windows over their borders at first.
+SEGMENT, WINDOW = 512, 64
 
 
 def byte_letters() -> list[str]:
@@ -100,25 +102,39 @@ class DuckEncoder:
         vocab = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         ids = np.array([(vocab[a], vocab[b], i, vocab[a + b]) for i, (a, b) in enumerate(pairs)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        #: Whether every token is made by one merge only: then all places of a pair may be contracted in one step.
+        self.unambiguous = len(np.unique(ids[:, 3])) == len(ids)
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})  # nothing on local disks
         self.con.register("m", pa.table({k: pa.array(ids[:, i]) for i, k in enumerate(("l", "r", "prio", "fresh"))}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.con.unregister("m")
         letters = byte_letters()
         self.byte_ids = np.array([vocab[c] for c in letters], np.int32)
+        byte = {c: b for b, c in enumerate(letters)}
+        made = {*letters, *(a + b for a, b in pairs)}
+        self.bytes_of = {i: bytes(byte[c] for c in t) for t, i in vocab.items() if t in made}
         self.words, self.split, self.most = regex.compile(WORDS), regex.compile(PIECE), cache
         self.reset()
 
     def reset(self) -> None:
         self.word_tokens: dict[str, np.ndarray] = {}
         self.piece_at: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
+        self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.sizes: list[int] = []
 
     def contract(self, words: list[str], block: int = 400_000) -> None:
-        """Run the recursive contraction for words not seen before, short and long ones apart, in blocks of bounded size."""
+        """Run the recursive contraction for words not seen before, short and long ones apart, in blocks of bounded size.
+
+        Long words contract all places of their best pair in a step, which gives the same tokens if the vocabulary is
+        unambiguous; in one that is not, they go the way of short ones."""
         raws = [(w, w.encode("utf-8", "surrogatepass")) for w in words]
-        for query, part in ((CONTRACT, [r for r in raws if len(r[1]) <= LONG]), (CONTRACT_LONG, [r for r in raws if len(r[1]) > LONG])):
+        for w, raw in raws:
+            if len(raw) > SEGMENT:
+                self.word_tokens[w] = self.stitched(raw)
+        self.contract_all([r for r in raws if len(r[1]) <= SEGMENT], block)
+
+    def contract_all(self, raws: list[tuple], block: int = 400_000) -> None:
+        for query, part in ((CONTRACT, [r for r in raws if len(r[1]) <= LONG or not self.unambiguous]), (CONTRACT_LONG, [r for r in raws if len(r[1]) > LONG and self.unambiguous])):
             at = 0
             while at < len(part):
                 group, size = [], 0
@@ -128,6 +144,62 @@ class DuckEncoder:
                     at += 1
                 self.contract_block(query, group)
 
+    def tokens_of(self, parts: list[bytes]) -> list[np.ndarray]:
+        """Tokens of byte strings, each by itself."""
+        fresh = sorted({p for p in parts if p not in self.word_tokens}, key=len)
+        self.contract_all([(p, p) for p in fresh])
+        return [self.word_tokens[p] for p in parts]
+
+    def stitched(self, raw: bytes) -> np.ndarray:
+        """Tokens of one long word: segments are encoded apart, and so are windows over their borders.
+
+        A row of tokens is the encoding of its bytes if and only if every two neighbours are the encoding of theirs. So
+        the tokens of a segment go on as those of the window where both have a border and the two tokens at it are such
+        neighbours, and in the same way back behind the border. Where there is no such place the windows are widened; a
+        word that has none even then is contracted whole.
+        """
+        starts = list(range(0, len(raw), SEGMENT))
+        cuts = starts[1:]
+        segments = self.tokens_of([raw[a : a + SEGMENT] for a in starts])
+        ends = [a + np.cumsum([len(self.bytes_of[t]) for t in seg.tolist()]) for a, seg in zip(starts, segments)]
+        joints: dict[int, tuple] = {}
+        half = WINDOW
+        while half <= SEGMENT // 2 and len(joints) < len(cuts):
+            open_cuts = [c for c in cuts if c not in joints]
+            windows = self.tokens_of([raw[c - half : c + half] for c in open_cuts])
+            offers = []
+            for c, win in zip(open_cuts, windows):
+                k = c // SEGMENT
+                stops = c - half + np.cumsum([len(self.bytes_of[t]) for t in win.tolist()])
+                begins = np.concatenate(([c - half], stops[:-1]))
+                left = [(x, int(segments[k - 1][i]), int(win[j])) for x, i, j in zip(*np.intersect1d(ends[k - 1], begins, return_indices=True)) if x <= c][::-1]
+                first = np.concatenate(([c], ends[k][:-1]))
+                right = [(y, int(win[j]), int(segments[k][i])) for y, i, j in zip(*np.intersect1d(first, stops, return_indices=True)) if y >= c]
+                offers.append((c, win, begins, left, right))
+            self.tokens_of([self.bytes_of[a] + self.bytes_of[b] for *_, l, r in offers for _, a, b in (*l, *r)])
+            for c, win, begins, left, right in offers:
+                x = next((x for x, a, b in left if self.neighbours(a, b)), None)
+                y = next((y for y, a, b in right if self.neighbours(a, b)), None)
+                if x is not None and y is not None:
+                    joints[c] = (x, y, win[(begins >= x) & (begins < y)])
+            half *= 2
+        if len(joints) < len(cuts):
+            self.contract_all([(raw, raw)])
+            return self.word_tokens[raw]
+        out, at = [], 0
+        for k, seg in enumerate(segments):
+            begins = np.concatenate(([starts[k]], ends[k][:-1]))
+            stop = joints[cuts[k]][0] if k < len(cuts) else len(raw)
+            out.append(seg[(begins >= at) & (begins < stop)])
+            if k < len(cuts):
+                _, at, window = joints[cuts[k]]
+                out.append(window)
+        return np.concatenate(out)
+
+    def neighbours(self, a: int, b: int) -> bool:
+        """Are the two tokens the encoding of their bytes?"""
+        return self.word_tokens[self.bytes_of[a] + self.bytes_of[b]].tolist() == [a, b]
+
     def contract_block(self, query: str, group: list[tuple[str, bytes]]) -> None:
         words = [w for w, _ in group]
         states = [self.byte_ids[np.frombuffer(raw, np.uint8)] for _, raw in group]
@@ -161,9 +233,17 @@ class DuckEncoder:
             toks = [self.word_tokens[w] for w in ws]
             arr = toks[0] if len(toks) == 1 else np.concatenate(toks) if toks else np.empty(0, np.int32)
             self.piece_at[p] = len(self.sizes)
-            self.flat.append(arr)
+            self.keep(arr)
             self.sizes.append(len(arr))
 
+    def keep(self, arr: np.ndarray) -> None:
+        """Put tokens behind those kept so far, in a buffer that doubles, so that a batch copies only what is new."""
+        end = self.used + len(arr)
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(end, 2 * len(self.flat)) - self.used, np.int32)])
+        self.flat[self.used : end] = arr
+        self.used = end
+
     def pieces(self, text: str) -> list[str]:
         """The text cut before every space that a visible character follows; these spaces are left out."""
         if text.isascii() and not any(x in text for x in BLANKS) and text[-1] != " ":
@@ -191,9 +271,8 @@ class DuckEncoder:
             return None, counts
         if not len(at):
             return np.empty(0, np.int32), counts
-        flat = np.concatenate(self.flat)
         starts = (np.cumsum(sizes) - sizes)[at]
-        out = flat[np.arange(per.sum()) + np.repeat(starts - (np.cumsum(per) - per), per)]
+        out = self.flat[np.arange(per.sum()) + np.repeat(starts - (np.cumsum(per) - per), per)]
         return out, counts
 
 

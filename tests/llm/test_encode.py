@@ -38,3 +38,25 @@ def test_small_cache_changes_nothing(reference):
     for t in TEXTS * 2:
         flat, n = coder.encode([t])
         assert flat.tolist() == reference(t) and n[0] == len(flat)
+
+
+def test_long_words_in_segments_equal_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    coder, library, rnd = encode.DuckEncoder(), Tokenizer.from_file(encode.VOCABULARY), random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rnd.choice(x) for _ in range(n)) for x, n in (("etaoinshrdlu", 3000), (letters, 2000), ("абвгдежзик", 900), (("information", "table", "ing", "retr"), 400))]
+    for text in [*texts, "a" * 4000, "ab" * 1500, f"x {texts[1]} y"]:
+        ids, counts = coder.encode([text])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+
+
+def test_ambiguous_vocabulary_takes_the_general_way():
+    coder = encode.DuckEncoder()
+    assert coder.unambiguous
+    want = coder.encode(["x" + "abcdefgh" * 9])[0].tolist()
+    coder.reset()
+    coder.unambiguous = False
+    assert coder.encode(["x" + "abcdefgh" * 9])[0].tolist() == want
