@@ -45,7 +45,7 @@ def test_long_words_in_segments_equal_the_library():
 
     from tokenizers import Tokenizer
 
-    coder, library, rnd = encode.DuckEncoder(), Tokenizer.from_file(encode.VOCABULARY), random.Random(6)
+    coder, library, rnd = en.DuckEncoder(), Tokenizer.from_file(en.VOCABULARY), random.Random(6)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     texts = ["".join(rnd.choice(x) for _ in range(n)) for x, n in (("etaoinshrdlu", 3000), (letters, 2000), ("абвгдежзик", 900), (("information", "table", "ing", "retr"), 400))]
     for text in [*texts, "a" * 4000, "ab" * 1500, f"x {texts[1]} y"]:
@@ -54,7 +54,7 @@ def test_long_words_in_segments_equal_the_library():
 
 
 def test_ambiguous_vocabulary_takes_the_general_way():
-    coder = encode.DuckEncoder()
+    coder = en.DuckEncoder()
     assert coder.unambiguous
     want = coder.encode(["x" + "abcdefgh" * 9])[0].tolist()
     coder.reset()
