@@ -36,13 +36,39 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_MADE: list[str] = []
+
+
+def _clear_local() -> None:
+    for path in _MADE:
+        if path.startswith(("/", "file:")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), True)
+
+
+atexit.register(_clear_local)
+
+
+def clear_tables(spark: SparkSession) -> int:
+    """Remove the tables that :func:`persist_table` wrote for this application, once results that read them are done.
+
+    On a local file system this happens at the end of the process by itself. Returns how many there were."""
+    for path in _MADE:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    n = len(_MADE)
+    _MADE.clear()
+    return n
+
+
 def persist_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage (survives the loss of executors) and, unlike ``checkpoint()``, keeps column pruning for later reads.
+    :func:`clear_tables` removes what was written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
