@@ -5,7 +5,10 @@ from __future__ import annotations
 import functools
 import uuid
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -342,14 +345,14 @@ class Store:
         return rows
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """``(term, chunk_id, tf, dl, part)`` of live chunks, of the given ``terms`` only; ``part`` is the commit of the segment."""
+        """``(term, chunk_id, tf, dl, part)`` of live chunks, of the given ``terms(term, id)`` only, with their ``id``; ``part`` is the commit of the segment."""
         m = self.manifest()
         schema = "term STRING, chunk_id STRING, source STRING, tf BIGINT, dl INT, bucket INT"
         each = [self.spark.read.schema(schema).parquet(f"{self.path}/{f['folder']}/postings").withColumn("_n", F.lit(f["commit"])) for f in m["segments"]]
         rows = functools.reduce(DataFrame.unionByName, each) if each else self.spark.createDataFrame([], schema).withColumn("_n", F.lit(0))
         if terms is not None:
-            rows = rows.join(terms.select("term").distinct().withColumn("bucket", self._bucket("term")), ["bucket", "term"], "left_semi")
-        return self._live(rows, m).select("term", "chunk_id", "tf", "dl", F.col("_n").alias("part"))
+            rows = rows.join(terms.withColumn("bucket", self._bucket("term")), ["bucket", "term"])
+        return self._live(rows, m).select("term", "chunk_id", "tf", "dl", F.col("_n").alias("part"), *([] if terms is None else ["id"]))
 
     def search(self, queries: DataFrame, k: int = 5, mode: str = "hybrid", min_score: float = 0.0, rerank: bool = False, embedder=None, candidates: int = 25) -> DataFrame:
         """``(query_id, rank, chunk_id, score, source, chunk_index, content)`` for ``queries(query_id, question[, qvec])``.
@@ -375,9 +378,15 @@ class Store:
         return hits.select("query_id", "rank", "chunk_id", "score").join(text, "chunk_id").select("query_id", "rank", "chunk_id", "score", "source", "chunk_index", "content")
 
     def _bm25(self, q: DataFrame, k: int, min_score: float) -> DataFrame:
-        terms = search.question_terms(q)
-        stats = self.figures().agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), (F.sum("terms") / F.sum("docs")).alias("avgdl"))
-        return search.ranked(self.postings(terms), stats, terms, k, min_score, ["part"])
+        """Postings of the terms of the questions are brought together by chunk, then scored as those of any chunks."""
+        terms = search.question_terms(q).toArrow()
+        vocabulary = pc.unique(terms["term"])
+        known = self.spark.createDataFrame(pa.table({"term": vocabulary, "id": np.arange(len(vocabulary), dtype=np.int32)}), "term string, id int")
+        rows = self.postings(known).select("chunk_id", "part", "dl", F.struct("id", F.col("tf").cast("int").alias("tf")).alias("x"))
+        docs = rows.repartition("chunk_id").groupBy("chunk_id", "part").agg(F.first("dl").alias("dl"), F.collect_list("x").alias("xs"))
+        docs = persist_table(docs.select("chunk_id", "dl", F.col("xs.id").alias("ids"), F.col("xs.tf").alias("tfs")), "bm25")
+        stats = self.figures().agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), (F.sum("terms") / F.sum("docs")).alias("avgdl")).first()
+        return search.ranked(docs, (stats["n"], stats["avgdl"]), search.figures(docs, len(vocabulary))[2], vocabulary, terms, k, min_score, repeats=True)
 
     def query(self, queries: DataFrame, k: int = 5, mode: str = "hybrid", chat=None, **more) -> DataFrame:
         """``(query_id, answer)``: the answers of ``chat(question, context)`` to the results; without one the context."""
