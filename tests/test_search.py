@@ -78,3 +78,9 @@ def test_history_holds_answered_turns_only(spark):
 def test_porter_stems():
     words = {"caresses": "caress", "ponies": "poni", "relational": "relat", "hopping": "hop", "agreed": "agre", "happy": "happi", "generalizations": "gener", "sky": "sky", "motoring": "motor", "failing": "fail", "filing": "file"}
     assert {w: tokens.porter(w) for w in words} == words
+
+
+def test_stems_keep_null_and_empty_lists(spark):
+    t = spark.createDataFrame([(1, ["ponies", "sky"]), (2, None), (3, []), (4, ["motoring"])], "i int, w array<string>")
+    got = {r["i"]: r["s"] for r in t.select("i", tokens.stems("w").alias("s")).collect()}
+    assert got == {1: ["poni", "sky"], 2: None, 3: [], 4: ["motor"]}
