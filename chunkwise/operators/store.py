@@ -16,7 +16,7 @@ from chunkwise.commits import CommitLog, Conflict
 from chunkwise.functions import tokens
 from chunkwise.functions.text import content_hash
 from chunkwise.operators import search
-from chunkwise.session import persist_table
+from chunkwise.session import persist_table, shuffles_removed
 
 CHUNK_SCHEMA = (
     "chunk_id STRING, source STRING, mtime BIGINT, chunk_index INT, content STRING, content_hash STRING, ingest_time BIGINT, "
@@ -106,6 +106,28 @@ def embed(df: DataFrame, text_col: str, embedder=None, dim: int = 64) -> DataFra
     return df.withColumn("vector", run(text_col))
 
 
+def by_bucket(texts: DataFrame, buckets: int) -> DataFrame:
+    """``(bucket, chunk_id, source, dl, terms, tfs)`` of ``texts(chunk_id, source, terms, buckets)``: the distinct terms of a
+    chunk in one row per bucket, so that ids and sources go through the shuffle once a bucket and not once a term."""
+    def run(batches):
+        for rb in batches:
+            coded = pc.list_flatten(rb["terms"]).dictionary_encode()
+            word, most = coded.indices.to_numpy(), max(1, len(coded.dictionary))
+            bucket = np.zeros(most, np.int64)
+            bucket[word] = pc.list_flatten(rb["buckets"]).to_numpy()
+            key, tf = np.unique(pc.list_parent_indices(rb["terms"]).to_numpy().astype(np.int64) * most + word, return_counts=True)
+            row, word = np.divmod(key, most)
+            cell = row * buckets + bucket[word]
+            by = np.argsort(cell, kind="stable")
+            cells, first = np.unique(cell[by], return_index=True)
+            ends = pa.array(np.r_[first, len(cell)].astype(np.int32))
+            row = pa.array(cells // buckets)
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (coded.dictionary.take(pa.array(word[by])), pa.array(tf[by]))]
+            yield pa.RecordBatch.from_arrays([pa.array((cells % buckets).astype(np.int32)), rb["chunk_id"].take(row), rb["source"].take(row), pc.list_value_length(rb["terms"]).take(row), *lists], ["bucket", "chunk_id", "source", "dl", "terms", "tfs"])
+
+    return texts.mapInArrow(run, "bucket int, chunk_id string, source string, dl int, terms array<string>, tfs array<bigint>")
+
+
 NOTHING: dict = {"dim": None, "segments": [], "dead": [], "touched": []}
 
 
@@ -176,13 +198,15 @@ class Store:
         schema = self.spark.createDataFrame([], CHUNK_SCHEMA).schema
         have = set(chunks.columns)
         full = chunks.withColumns({f.name: F.lit(None) for f in schema if f.name not in have}).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-        full.repartitionByRange("source", "chunk_index").sortWithinPartitions("source", "chunk_index").write.parquet(f"{self.path}/{folder}/chunks")
+        with shuffles_removed(self.spark):
+            full.repartitionByRange("source", "chunk_index").sortWithinPartitions("source", "chunk_index").write.parquet(f"{self.path}/{folder}/chunks")
         rows = self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/{folder}/chunks")
-        docs = rows.where("chunk_id IS NOT NULL AND content IS NOT NULL").select("chunk_id", "source", tokens.standard("content").alias("terms")).dropDuplicates(["chunk_id"])
-        docs = docs.withColumn("dl", F.size("terms"))
-        posts = docs.select("chunk_id", "source", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-        posts = posts.withColumn("bucket", self._bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term", "chunk_id")
-        posts.write.partitionBy("bucket").parquet(f"{self.path}/{folder}/postings")
+        texts = rows.where("chunk_id IS NOT NULL AND content IS NOT NULL").select("chunk_id", "source", tokens.standard("content").alias("terms"))
+        lists = by_bucket(texts.withColumn("buckets", F.transform("terms", self._bucket)), self.buckets).repartition("bucket")
+        posts = lists.select("chunk_id", "source", "dl", "bucket", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("bucket", F.col("x.terms").alias("term"), "chunk_id", "source", F.col("x.tfs").alias("tf"), "dl")
+        posts = posts.dropDuplicates(["bucket", "term", "chunk_id"]).sortWithinPartitions("bucket", "term", "chunk_id")  # repeated rows of a chunk lie together now
+        with shuffles_removed(self.spark):
+            posts.write.partitionBy("bucket").parquet(f"{self.path}/{folder}/postings")
         written = self.spark.read.schema("chunk_id STRING, source STRING, dl INT, tf BIGINT").parquet(f"{self.path}/{folder}/postings")
         size = written.groupBy(F.col("source").alias("_s")).agg(F.count_distinct("chunk_id").alias("docs"), F.sum("tf").alias("terms"))
         figures = _figures(rows, F.sum(F.octet_length("content")).alias("bytes")).join(size, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
@@ -383,7 +407,7 @@ class Store:
         vocabulary = pc.unique(terms["term"])
         known = self.spark.createDataFrame(pa.table({"term": vocabulary, "id": np.arange(len(vocabulary), dtype=np.int32)}), "term string, id int")
         rows = self.postings(known).select("chunk_id", "part", "dl", F.struct("id", F.col("tf").cast("int").alias("tf")).alias("x"))
-        docs = rows.repartition("chunk_id").groupBy("chunk_id", "part").agg(F.first("dl").alias("dl"), F.collect_list("x").alias("xs"))
+        docs = rows.groupBy("chunk_id", "part").agg(F.first("dl").alias("dl"), F.collect_list("x").alias("xs"))
         docs = persist_table(docs.select("chunk_id", "dl", F.col("xs.id").alias("ids"), F.col("xs.tf").alias("tfs")), "bm25")
         stats = self.figures().agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), (F.sum("terms") / F.sum("docs")).alias("avgdl")).first()
         return search.ranked(docs, (stats["n"], stats["avgdl"]), search.figures(docs, len(vocabulary))[2], vocabulary, terms, k, min_score, repeats=True)
